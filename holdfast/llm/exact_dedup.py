@@ -106,30 +106,29 @@ def exact_dedup(spark: SparkSession, docs: DataFrame | str, *, id_col: str = "do
     table = spark.read.parquet(path)
     state = digest_state(spark, path, table.schema, id_col=id_col, text_col=text_col, digest=digest, state_dir=state_dir)
     rows = _keyed(table, id_col, text_col, digest)
-    places = state.filter("n > 1").select("digest", F.col("best.file").alias("file"), F.col("best.row").alias("row"))
-    keepers = rows.join(places, ["digest", "file", "row"], "left_semi").select("digest", F.col("norm").alias("keeper_norm"))
-    state = state.join(keepers, "digest", "left")
-    met = rows.join(state, "digest").select(
-        "doc_id", "length", "file", "row", "digest", "n", "best",
-        (F.col("keeper_norm").isNull() | (F.col("keeper_norm") == F.col("norm"))).alias("same"),
-        sha256(F.col("norm")).alias("text_sha256"),
-        F.when(~(F.col("keeper_norm").isNull() | (F.col("keeper_norm") == F.col("norm"))), F.col("norm")).alias("other_norm"),
+    keeps = (F.col("best.file") == F.col("file")) & (F.col("best.row") == F.col("row"))
+    met, _ = spill(
+        rows.join(state, "digest").select(
+            "doc_id", "length", "file", "row", "digest", "n", "best", keeps.alias("kept"),
+            (F.col("digest") if digest is sha256 else sha256(F.col("norm"))).alias("text_sha256"),
+            F.when(F.col("n") > 1, F.col("norm")).alias("norm"),
+        ),
+        "dedup-hits",
     )
-    met, _ = spill(met, "dedup-hits")
-    clashes = met.filter(~F.col("same")).select("digest").distinct()
+    # Every hit against the whole text of the row that stays.
+    keepers = met.filter("n > 1 AND kept").select("digest", F.col("norm").alias("keeper_norm"))
+    clashes, _ = spill(met.filter("n > 1").join(keepers, "digest").filter("norm <> keeper_norm").select("digest").distinct(), "dedup-clashes")
     if not clashes.isEmpty():
         # Digests that collided: the text itself is the key, and the state's row is not used.
-        variant = F.when(F.col("same"), F.lit("")).otherwise(F.concat(F.lit("="), F.col("other_norm")))
-        mixed = met.join(clashes, "digest", "left_semi").withColumn("variant", variant)
-        own = Window.partitionBy("digest", "variant")
-        mixed = mixed.withColumns({"n": F.count(F.lit(1)).over(own), "best": F.min(_rank()).over(own)}).drop("variant")
+        own = Window.partitionBy("digest", "norm")
+        mixed = met.join(clashes, "digest", "left_semi")
+        mixed = mixed.withColumns({"n": F.count(F.lit(1)).over(own), "best": F.min(_rank()).over(own)}).withColumn("kept", keeps)
         met = met.join(clashes, "digest", "left_anti").unionByName(mixed)
     return met.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        ((F.col("best.file") == F.col("file")) & (F.col("best.row") == F.col("row"))).alias("kept"),
-        "text_sha256", "file", "row",
+        "kept", "text_sha256", "file", "row",
     )
 
 
