@@ -6,10 +6,13 @@ executor can read again after any other executor is lost.
 
 from __future__ import annotations
 
-import re
+import gc
 import tempfile
 import uuid
 import zlib
+from functools import partial
+from itertools import compress
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -108,14 +111,14 @@ class UnitEncoder:
         led = [u for u in inner if u == u.strip()]
         lines = [u for u in inner if u[0] == "\n" and u[1:] == u.strip()]
         feed = np.frombuffer(self.feed, dtype="<u4")[0]
-        for own, text, skip in ((led, "\n" + "\n".join(" " + u for u in led), 1), (lines, "".join(lines), 0)):
+        for own, text, skip in ((led, "\n" + "\n".join([" " + u for u in led]), 1), (lines, "".join(lines), 0)):
             if own:
                 ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
                 at = np.flatnonzero(ids == feed)
                 if len(at) == len(own):
                     raw, starts = ids.tobytes(), ((at + skip) * 4).tolist()
                     stops = [*(at[1:] * 4).tolist(), len(raw)]
-                    self.led.update((u, raw[a:b]) for u, a, b in zip(own, starts, stops, strict=True))
+                    self.led.update([(u, raw[a:b]) for u, a, b in zip(own, starts, stops, strict=True)])
         for u in units:
             if u not in self.led:
                 self.led[u] = self._ids(u if u[:1] == "\n" else " " + u)
@@ -124,38 +127,58 @@ class UnitEncoder:
         """The ids of every text, each as little-endian unsigned 32-bit integers."""
         if not self.plain:
             return [self._ids(t) if t else b"" for t in texts]
+        gc.disable()  # long lists without cycles; collections only walk them
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.led) > self.most:  # units not met since the last turn go
             self.led, self.older = {}, self.led
+        get = self.led.get
         cut = [None if not t or _double_space(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [parts[0] if parts else "" for parts in cut]
+        found = []
         new: set[str] = set()
         for parts in cut:
             if parts:
-                new.update(parts[1:])
-        new.difference_update(self.led)
-        if self.older:
-            known = new & self.older.keys()
-            self.led.update((u, self.older[u]) for u in known)
-            new -= known
+                del parts[0]
+                ids = list(map(get, parts))
+                if None in ids:
+                    new.update(compress(parts, map(_missing, ids)))
+                found.append(ids)
+            else:
+                found.append(None)
         if new:
-            self._learn(new)
-        get = self.led.__getitem__
+            if self.older:
+                known = new & self.older.keys()
+                self.led.update((u, self.older[u]) for u in known)
+                new -= known
+            if new:
+                self._learn(new)
         out = []
-        for t, parts in zip(texts, cut, strict=True):
+        for t, parts, head, ids in zip(texts, cut, heads, found, strict=True):
             if not t:
                 out.append(b"")
-            elif parts is None:
+            elif ids is None:
                 out.append(self._ids(t))
             else:
-                out.append((self._ids(parts[0]) if parts[0] else b"") + b"".join(map(get, parts[1:])))
+                if None in ids:
+                    ids = [self.led[u] if i is None else i for u, i in zip(parts, ids, strict=True)]
+                out.append((self._ids(head) if head else b"") + b"".join(ids))
         return out
 
 
-#: Two white-space characters of which at most one is a plain space, or any rare white space.
-_RUNS = re.compile(r"[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
+_missing = partial(is_, None)
+
+#: Runs of plain white space, and rare white space; each is searched for as it stands.
+_RUNS = ("  ", "\n\n", " \n", "\n ", *"\t\v\f\r\x1c\x1d\x1e\x1f")
+_WIDE = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def _double_space(text: str) -> bool:
-    return text[0] in " \n" or text[-1] in " \n" or _RUNS.search(text) is not None
+    return text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or not text.isascii() and any(r in text for r in _WIDE)
 
 
 _encoders: dict[str, UnitEncoder] = {}

@@ -21,6 +21,7 @@ each; with no label of both kinds every text scores the share of toxic labels (0
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -107,11 +108,14 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
     bias = np.float32(np.log(share / (1 - share)))
     vocabulary: dict[bytes, int] = {}
     ids = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in passage_words(t)), dtype=np.int32) for t in texts]
-    bags = [grams(w) for w in vocabulary]
-    sizes = np.fromiter(map(len, bags), dtype=np.int64, count=len(bags))
+    flat_, sizes_ = array("i"), array("i")
+    for w in vocabulary:
+        bag = grams(w)
+        flat_.extend(bag)
+        sizes_.append(len(bag))
+    del vocabulary
+    flat, sizes = np.frombuffer(flat_, dtype=np.int32), np.frombuffer(sizes_, dtype=np.int32).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.fromiter((g for b in bags for g in b), dtype=np.int32, count=int(sizes.sum()))
-    del bags
     spans = [windows(len(x)) for x in ids]
     y = np.asarray(labels, dtype=np.float32)
     m_v, s_v = np.zeros_like(vectors), np.zeros_like(vectors)
