@@ -27,7 +27,7 @@ from .shared import documents, fold_of
 from .toxicity import training_rows
 
 MOST_TEXTS = 8_000
-MOST_CHARS = 20_000
+MOST_CHARS = 8_000
 ROUNDS = 150
 
 _KIND = np.zeros(256, dtype=np.uint8)

@@ -37,7 +37,7 @@ WINDOW = 8
 BUCKETS = 1 << 17
 WIDTH = 12
 MOST_TEXTS = 10_000
-MOST_CHARS = 20_000
+MOST_CHARS = 8_000
 EPOCHS = 8
 
 
