@@ -22,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ from .shared import documents
 PASSAGE = 96
 STEP = 48
 BLOCK = 2048
-RANK = 96
+RANK = 64
 EXTRA = 16
-NEAR = 0.4
+NEAR = 0.5
 MATCH = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.8
@@ -85,6 +86,11 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [plain_words(t) for _, t in items]
         self.answers = [answer_words(t) for _, t in items]
+        self.sets = [set(w) for w in self.words]
+        self.again = [len(w) - len(k) for w, k in zip(self.words, self.sets, strict=True)]
+        #: A common subsequence is no longer than the distinct words in common and the item's repeats.
+        self.need = [int(np.ceil(PARAPHRASE * len(w) - 1e-9)) - r for w, r in zip(self.words, self.again, strict=True)]
+        self.reach = max(map(len, self.words))
         self.row_of = row_of
         self.weighted = (vectors * idf[:, None]).astype(np.float32)
         self.scales: list[tuple[np.ndarray, np.ndarray]] = []
@@ -112,7 +118,8 @@ class Index:
         """(text, item, cosine, share, answer share) of every match; the best window of each pair."""
         sizes = np.array([len(t) for t in texts])
         units = -(-sizes // UNIT)
-        rows = np.fromiter((self.row_of.get(w, -1) for t in texts for w in t), dtype=np.int64, count=int(sizes.sum()))
+        find = self.row_of.get
+        rows = np.fromiter(chain.from_iterable(map(find, t, repeat(-1)) for t in texts), dtype=np.int64, count=int(sizes.sum()))
         unit = np.repeat(np.concatenate([[0], np.cumsum(units)[:-1]]), sizes) + (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // UNIT
         live = rows >= 0
         rows, unit = rows[live], unit[live]
@@ -136,9 +143,17 @@ class Index:
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
             for a in range(0, len(window), 8192):
                 cosine = window[a : a + 8192] @ vectors.T
-                for i, j in zip(*np.nonzero(cosine >= NEAR), strict=True):
-                    t, n, c = int(text[a + i]), int(whose[j]), float(cosine[i, j])
-                    found = self.judge(n, texts[t], int(begin[a + i]) * UNIT, int(end[a + i]) * UNIT)
+                at, which = np.nonzero(cosine >= NEAR)
+                last = -1
+                for i, j in zip(at.tolist(), which.tolist(), strict=True):
+                    if i != last:
+                        last, t = i, int(text[a + i])
+                        first_word, last_word = int(begin[a + i]) * UNIT, int(end[a + i]) * UNIT
+                        near = set(texts[t][max(0, first_word - self.reach) : last_word + self.reach])
+                    n = int(whose[j])
+                    if len(near & self.sets[n]) < self.need[n]:
+                        continue
+                    c, found = float(cosine[i, j]), self.judge(n, texts[t], first_word, last_word)
                     if found and (c, *found) > best.get((t, n), (-1.0, 0.0, 0.0)):
                         best[t, n] = (c, *found)
         return [(t, n, *v) for (t, n), v in best.items()]
