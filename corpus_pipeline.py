@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from holdfast.llm import decontaminate, exact_dedup, packing, simhash, toxicity
 from holdfast.llm.shared import ROW, as_table, documents, keyed, spill
 
-#: Words in a shingle, and differing bits of two fingerprints, for the near-duplicate stage.
+#: For the near-duplicate stage: words in a shingle, differing bits of two fingerprints that make
+#: them a candidate, and the share of common shingles that makes them near copies.
 SHINGLE = 5
-MAX_DIFF = 8
+MAX_DIFF = 10
+SIMILARITY = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id (then the first in the table)."""
     table, _ = as_table(docs)
-    groups = simhash.near_groups(keyed(table), size=SHINGLE, max_diff=MAX_DIFF, row_col=ROW)
+    groups = simhash.near_groups(keyed(table), size=SHINGLE, max_diff=MAX_DIFF, similarity=SIMILARITY, row_col=ROW)
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
     kept = groups.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row_key").alias(ROW))
     return _keep(table, kept, "left_semi")

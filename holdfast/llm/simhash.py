@@ -109,12 +109,21 @@ class GrayIndex:
 
 
 class Forest:
-    """Union by smallest place, all links of a block at a time."""
+    """Union by smallest place, all links of a block at a time; ``links`` are the pairs that joined two trees."""
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+    def join(self, a: np.ndarray, b: np.ndarray, near: np.ndarray) -> None:
+        """Join the pairs (a, b), those with the smaller ``near`` first."""
+        order = np.argsort(near, kind="stable")
+        a, b, near = a[order], b[order], near[order]
+        for distance in np.unique(near):
+            at = near == distance
+            self._join(a[at], b[at])
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         root = self.root
         while len(a):
             x, y = root[a], root[b]
@@ -122,7 +131,9 @@ class Forest:
             a, b, x, y = a[apart], b[apart], x[apart], y[apart]
             if not len(a):
                 break
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            root[high] = np.minimum(x, y)[first]
+            self.links.append((a[first], b[first]))
             while True:
                 up = root[root]
                 if np.array_equal(up, root):
@@ -132,27 +143,29 @@ class Forest:
 
 
 def forest_links(fingerprints: np.ndarray, block: np.ndarray, left: int, right: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of one node's fingerprints: all pairs, or those across two blocks."""
+    """Spanning links of one node's fingerprints, nearest first: of all pairs, or of those across two blocks."""
     if len(fingerprints) < 2:
         return fingerprints[:0], fingerprints[:0]
     if left == right:
         index = GrayIndex(fingerprints)
         forest, items = Forest(len(index.items)), index.items
-        for i in range(0, len(items), 512):
-            q, at = index.search(items[i : i + 512], np.arange(i, min(i + 512, len(items))), most)
+        for i in range(0, len(items), 256):
+            q, at = index.search(items[i : i + 256], np.arange(i, min(i + 256, len(items))), most)
             keep = at > q + i
-            forest.join(q[keep] + i, at[keep])
+            q, at = q[keep] + i, at[keep]
+            forest.join(q, at, np.bitwise_count(items[q] ^ items[at]))
     else:
         index = GrayIndex(fingerprints[block == left])
         others = fingerprints[block == right]
         items = np.concatenate([index.items, others])
         forest, n = Forest(len(items)), len(index.items)
-        for i in range(0, len(others), 512):
-            part = others[i : i + 512]
+        for i in range(0, len(others), 256):
+            part = others[i : i + 256]
             q, at = index.search(part, np.full(len(part), -1), most)
-            forest.join(at, q + n + i)
-    tied = forest.root != np.arange(len(items))
-    return items[tied], items[forest.root[tied]]
+            forest.join(at, q + n + i, np.bitwise_count(part[q] ^ items[at]))
+    if not forest.links:
+        return items[:0], items[:0]
+    return items[np.concatenate([x for x, _ in forest.links])], items[np.concatenate([y for _, y in forest.links])]
 
 
 def masks(count: int, most: int) -> list[int]:
@@ -236,8 +249,31 @@ def components(links: DataFrame) -> DataFrame:
         state = seen
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_diff: int = 4, row_col: str | None = None) -> DataFrame:
-    """One row a document: doc_id, fp, root (fingerprint that stands for the group), component_id; and its row key if named."""
+def shingle_hashes(text, size: int):
+    """The distinct shingles of a text column, hashed; fewer words than a shingle are one."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    at = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
+    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, size), " "))))
+
+
+def alike(links: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links whose two texts (the first row of each fingerprint) share ``similarity`` of their shingles."""
+    named = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
+    firsts = prints.join(named, "fp").groupBy("fp").agg(F.min("row_key").alias("row_key"))
+    sets, _ = spill(rows.join(firsts, "row_key").select("fp", shingle_hashes(F.col("text"), size).alias("set")), "simhash-sets")
+    both = links.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("y")), "v")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
+
+
+def near_groups(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_diff: int = 4, similarity: float | None = None, row_col: str | None = None
+) -> DataFrame:
+    """One row a document: doc_id, fp, root (fingerprint that stands for the group), component_id; and its row key if named.
+
+    With ``similarity`` (which needs the row key), a link found by the index also has to reach that
+    share of common shingles.
+    """
     more = [F.col(row_col).alias("row_key")] if row_col else []
     rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).alias("text"))
     kept = [n for n in rows.columns if n != "text"]
@@ -250,7 +286,11 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     prints, _ = spill(rows.mapInArrow(run, f"{schema}, fp long"), "simhash-prints")
     distinct, _ = spill(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(link(distinct.select("fp"), max_diff))
+    links = link(distinct.select("fp"), max_diff)
+    if similarity is not None:
+        texts = docs.select(F.col(row_col).alias("row_key"), F.col(text_col).alias("text"))
+        links = alike(links.distinct(), prints, texts, size, similarity)
+    roots = components(links)
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = placed.join(names, "root").select("fp", "root", "component_id")
