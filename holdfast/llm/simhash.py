@@ -146,7 +146,14 @@ def forest_links(fingerprints: np.ndarray, block: np.ndarray, left: int, right:
     """Spanning links of one node's fingerprints, nearest first: of all pairs, or of those across two blocks."""
     if len(fingerprints) < 2:
         return fingerprints[:0], fingerprints[:0]
-    if left == right:
+    if left == right and len(fingerprints) <= 4 * FAN:  # a node of leaves only: every pair
+        near = np.bitwise_count(fingerprints[:, None] ^ fingerprints[None, :])
+        a, b = np.nonzero(np.triu(near <= most, 1))
+        if not len(a):
+            return fingerprints[:0], fingerprints[:0]
+        forest, items = Forest(len(fingerprints)), fingerprints
+        forest.join(a, b, near[a, b])
+    elif left == right:
         index = GrayIndex(fingerprints)
         forest, items = Forest(len(index.items)), index.items
         for i in range(0, len(items), 256):
@@ -170,7 +177,8 @@ def forest_links(fingerprints: np.ndarray, block: np.ndarray, left: int, right:
 
 def masks(count: int, most: int) -> list[int]:
     """The upper nodes' masks for so many fingerprints: all choices of c among most + c blocks."""
-    chosen = 1 if count <= 1 << 18 else 2 if count <= 1 << 27 else 3 if count <= 1 << 33 else 4
+    # The fewest blocks that leave about 64 fingerprints under a pattern, were they spread evenly.
+    chosen = next((c for c in (1, 2, 3) if count >> (64 * c // (most + c)) <= 64), 4)
     parts = most + chosen
     edges = [64 * i // parts for i in range(parts + 1)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
@@ -249,18 +257,26 @@ def components(links: DataFrame) -> DataFrame:
         state = seen
 
 
-def shingle_hashes(text, size: int):
-    """The distinct shingles of a text column, hashed; fewer words than a shingle are one."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    at = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, size), " "))))
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct shingles' XXH64 values; fewer words than a shingle are one, none give none."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    joined = (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64)).view(np.int64)
 
 
 def alike(links: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links whose two texts (the first row of each fingerprint) share ``similarity`` of their shingles."""
     named = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
     firsts = prints.join(named, "fp").groupBy("fp").agg(F.min("row_key").alias("row_key"))
-    sets, _ = spill(rows.join(firsts, "row_key").select("fp", shingle_hashes(F.col("text"), size).alias("set")), "simhash-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+
+    sets, _ = spill(rows.join(firsts, "row_key").select("fp", "text").mapInArrow(run, "fp long, set array<long>"), "simhash-sets")
     both = links.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
