@@ -39,6 +39,8 @@ WIDTH = 12
 MOST_TEXTS = 10_000
 MOST_CHARS = 8_000
 EPOCHS = 8
+#: Updates at least, so that a small labelled set is gone over more often.
+UPDATES = 1250
 
 
 def grams(word: bytes) -> list[int]:
@@ -121,6 +123,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
     m_v, s_v = np.zeros_like(vectors), np.zeros_like(vectors)
     m_w, s_w, m_b, s_b, step = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0, 0
     usable = np.array([i for i, x in enumerate(ids) if len(x)])
+    epochs = max(epochs, -(-UPDATES // max(1, -(-len(usable) // 64))))
     for epoch in range(epochs):
         # The worst passage of each text under the vectors of this moment.
         logit = vectors @ weight
