@@ -33,9 +33,19 @@ from .shared import documents, remove, spill, words_of
 
 FAN = 16
 MOST = 8192
+SPREAD = 512
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: set where over half of the hashes have them set."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        part = np.ascontiguousarray(hashes[i : i + (1 << 16)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, size: int = 4) -> int:
     """64 bits: set where over half of the shingles' XXH64 values have them set."""
     words = words_of(text)
@@ -49,11 +59,7 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     ends = (starts + lengths)[size - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends, strict=False)), dtype=np.uint64, count=len(ends))
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = np.ascontiguousarray(hashes[i : i + (1 << 16)])
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -142,43 +148,56 @@ class Forest:
         self.root = root
 
 
-def forest_links(fingerprints: np.ndarray, block: np.ndarray, left: int, right: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of one node's fingerprints, nearest first: of all pairs, or of those across two blocks."""
-    if len(fingerprints) < 2:
-        return fingerprints[:0], fingerprints[:0]
+def near_pairs(fingerprints: np.ndarray, block: np.ndarray, left: int, right: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places (a, b) and distances of one node's pairs within ``most`` bits, or of those across two blocks, part by part."""
     if left == right and len(fingerprints) <= 4 * FAN:  # a node of leaves only: every pair
         near = np.bitwise_count(fingerprints[:, None] ^ fingerprints[None, :])
         a, b = np.nonzero(np.triu(near <= most, 1))
-        if not len(a):
-            return fingerprints[:0], fingerprints[:0]
-        forest, items = Forest(len(fingerprints)), fingerprints
-        forest.join(a, b, near[a, b])
+        yield a, b, near[a, b]
     elif left == right:
         index = GrayIndex(fingerprints)
-        forest, items = Forest(len(index.items)), index.items
+        items = index.items
         for i in range(0, len(items), 256):
             q, at = index.search(items[i : i + 256], np.arange(i, min(i + 256, len(items))), most)
             keep = at > q + i
             q, at = q[keep] + i, at[keep]
-            forest.join(q, at, np.bitwise_count(items[q] ^ items[at]))
+            yield index.order[q], index.order[at], np.bitwise_count(items[q] ^ items[at])
     else:
-        index = GrayIndex(fingerprints[block == left])
-        others = fingerprints[block == right]
-        items = np.concatenate([index.items, others])
-        forest, n = Forest(len(items)), len(index.items)
-        for i in range(0, len(others), 256):
-            part = others[i : i + 256]
+        ours, theirs = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        index = GrayIndex(fingerprints[ours])
+        for i in range(0, len(theirs), 256):
+            part = fingerprints[theirs[i : i + 256]]
             q, at = index.search(part, np.full(len(part), -1), most)
-            forest.join(at, q + n + i, np.bitwise_count(part[q] ^ items[at]))
-    if not forest.links:
-        return items[:0], items[:0]
-    return items[np.concatenate([x for x, _ in forest.links])], items[np.concatenate([y for _, y in forest.links])]
+            yield theirs[q + i], ours[index.order[at]], np.bitwise_count(part[q] ^ index.items[at])
+
+
+def forest_links(fingerprints: np.ndarray, block: np.ndarray, left: int, right: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of spanning links of one node's fingerprints, nearest first within a part of the search."""
+    forest = Forest(len(fingerprints))
+    for a, b, near in near_pairs(fingerprints, block, left, right, most):
+        forest.join(a, b, near)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate([none, *(x for x, _ in forest.links)]), np.concatenate([none, *(y for _, y in forest.links)])
+
+
+def cross_links(fingerprints: np.ndarray, block: np.ndarray, left: int, right: int, most: int, group: np.ndarray, table: int, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of different groups, each given only under the first mask both share."""
+    none = np.zeros(0, dtype=np.int64)
+    found = [(none, none)]
+    if (group != group[0]).any():
+        for a, b, _ in near_pairs(fingerprints, block, left, right, most):
+            apart = group[a] != group[b]
+            a, b = a[apart], b[apart]
+            differ = fingerprints[a] ^ fingerprints[b]
+            first = ~((differ[:, None] & patterns[None, :table]) == 0).any(axis=1)
+            found.append((a[first], b[first]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
 def masks(count: int, most: int) -> list[int]:
     """The upper nodes' masks for so many fingerprints: all choices of c among most + c blocks."""
-    # The fewest blocks that leave about 64 fingerprints under a pattern, were they spread evenly.
-    chosen = next((c for c in (1, 2, 3) if count >> (64 * c // (most + c)) <= 64), 4)
+    # The fewest blocks that leave about SPREAD fingerprints under a pattern, were they spread evenly.
+    chosen = next((c for c in (1, 2, 3) if count >> (64 * c // (most + c)) <= SPREAD), 4)
     parts = most + chosen
     edges = [64 * i // parts for i in range(parts + 1)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
@@ -189,18 +208,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def link(distinct: DataFrame, most: int, *, block: int = MOST) -> DataFrame:
-    """Links (u, v) whose components are those of all pairs within ``most`` bits."""
-    patterns = F.array(*(F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for i, m in enumerate(masks(distinct.count(), most))))
-    rows = distinct.select("fp", F.explode(patterns).alias("at")).select("fp", "at.table", "at.pattern")
+def link(distinct: DataFrame, most: int, *, block: int = MOST, cross: bool = False) -> DataFrame:
+    """Links (u, v) of rows (node, fp) whose components are those of all pairs within ``most`` bits.
+
+    With ``cross`` the rows have a ``group`` too, and the links are all such pairs of different groups.
+    """
+    chosen = masks(distinct.count(), most)
+    signed = F.array(*(F.lit(_signed(m)) for m in chosen))
+    unsigned = np.array(chosen, dtype=np.uint64)
+    rows = distinct.select(*distinct.columns, F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1))).alias("table"))
+    rows = rows.withColumn("pattern", F.col("fp").bitwiseAND(F.element_at(signed, F.col("table") + 1)))
     large = rows.groupBy("table", "pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
     large, path = spill(large, "simhash-large")
     if large.isEmpty():
         rows = rows.withColumns({"own": F.lit(0), "left": F.lit(0), "right": F.lit(0)})
     else:
         blocks = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
-        rows = rows.join(large, ["table", "pattern"], "left").withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+        rows = rows.join(large, ["table", "pattern"], "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
+    keys = ["table", "pattern", "left", "right"]
+    read = ["fp", "node", "own", *keys, *(["group"] if cross else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -209,20 +236,21 @@ def link(distinct: DataFrame, most: int, *, block: int = MOST) -> DataFrame:
             us, vs = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a > 1:
-                    u, v = forest_links(parts[0][a:b].view(np.uint64), parts[1][a:b], int(parts[2][a]), int(parts[3][a]), most)
-                    us.append(u)
-                    vs.append(v)
+                    under = parts[0][a:b].view(np.uint64), parts[2][a:b], int(parts[5][a]), int(parts[6][a]), most
+                    x, y = cross_links(*under, parts[7][a:b], int(parts[3][a]), unsigned) if cross else forest_links(*under)
+                    us.append(parts[1][a:b][x])
+                    vs.append(parts[1][a:b][y])
             if not us or not sum(map(len, us)):
                 return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
         for batch in batches:
-            new = [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in ("fp", "own", "left", "right", "table", "pattern")]
+            new = [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in read]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
             if not len(held[0]):
                 continue
             change = np.zeros(len(held[0]), dtype=bool)
-            for i in (2, 3, 4, 5):
+            for i in (3, 4, 5, 6):
                 change[1:] |= held[i][1:] != held[i][:-1]
             cuts = np.concatenate([[0], np.flatnonzero(change)])
             if len(cuts) > 1 and (out := give(held, cuts)) is not None:
@@ -231,8 +259,7 @@ def link(distinct: DataFrame, most: int, *, block: int = MOST) -> DataFrame:
         if held is not None and len(held[0]) and (out := give(held, np.array([0, len(held[0])]))) is not None:
             yield out
 
-    keys = ["table", "pattern", "left", "right"]
-    found = rows.repartition(*keys).sortWithinPartitions(*keys).select("fp", "own", *keys).mapInArrow(run, "u long, v long")
+    found = rows.repartition(*keys).sortWithinPartitions(*keys).select(*read).mapInArrow(run, "u long, v long")
     found, _ = spill(found, "simhash-links")
     return found
 
@@ -261,34 +288,52 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     """The distinct shingles' XXH64 values; fewer words than a shingle are one, none give none."""
     words = words_of(text)
     if not words:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
     joined = (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64)).view(np.int64)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64))
 
 
 def alike(links: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links whose two texts (the first row of each fingerprint) share ``similarity`` of their shingles."""
-    named = links.select(F.col("u").alias("fp")).unionByName(links.select(F.col("v").alias("fp"))).distinct()
-    firsts = prints.join(named, "fp").groupBy("fp").agg(F.min("row_key").alias("row_key"))
+    """Links whose two nodes share ``similarity`` of their shingles; a node's rows all have the same ones."""
+    named = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    firsts = prints.join(named, "node").groupBy("node").agg(F.min("row_key").alias("row_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "set"])
+            sets = [shingle_set(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    sets, _ = spill(rows.join(firsts, "row_key").select("fp", "text").mapInArrow(run, "fp long, set array<long>"), "simhash-sets")
-    both = links.join(sets.select(F.col("fp").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("fp").alias("v"), F.col("set").alias("y")), "v")
+    sets, path = spill(rows.join(firsts, "row_key").select("node", "text").mapInArrow(run, "node long, set array<long>"), "simhash-sets")
+    both = links.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v")
+    kept, _ = spill(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v"), "simhash-alike")
+    remove(rows.sparkSession, path)
+    return kept
+
+
+def alike_links(distinct: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float, most: int) -> DataFrame:
+    """Links (u, v) with the components of all pairs within ``most`` bits that share ``similarity``.
+
+    A spanning link that is not alike may hide one that is, so the index is searched a second time:
+    every pair whose nodes the alike spanning links leave apart is compared as well.
+    """
+    spanning = alike(link(distinct, most).distinct(), prints, rows, size, similarity)
+    roots = components(spanning)
+    placed = distinct.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group"))
+    placed, path = spill(placed, "simhash-placed")
+    more = alike(link(placed, most, cross=True), prints, rows, size, similarity)
+    remove(distinct.sparkSession, path)
+    return spanning.unionByName(more)
 
 
 def near_groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_diff: int = 4, similarity: float | None = None, row_col: str | None = None
 ) -> DataFrame:
-    """One row a document: doc_id, fp, root (fingerprint that stands for the group), component_id; and its row key if named.
+    """One row a document: doc_id, fp, root (node that stands for the group), component_id; and its row key if named.
 
-    With ``similarity`` (which needs the row key), a link found by the index also has to reach that
-    share of common shingles.
+    Without ``similarity`` a node is a fingerprint.  With it (it needs the row key) a node is a set
+    of shingles, the fingerprint is that of the distinct shingles, and a link found by the index
+    also has to reach that share of common shingles.
     """
     more = [F.col(row_col).alias("row_key")] if row_col else []
     rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).alias("text"))
@@ -297,20 +342,28 @@ def near_groups(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, size) for t in batch.column(len(kept)).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64))], names=[*kept, "fp"])
-
-    prints, _ = spill(rows.mapInArrow(run, f"{schema}, fp long"), "simhash-prints")
-    distinct, _ = spill(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    links = link(distinct.select("fp"), max_diff)
-    if similarity is not None:
+            texts = batch.column(len(kept)).to_pylist()
+            if similarity is None:
+                fps = nodes = np.fromiter((fingerprint(t, size) for t in texts), dtype=np.uint64, count=len(texts))
+            else:
+                fps, nodes = np.zeros(len(texts), dtype=np.uint64), np.zeros(len(texts), dtype=np.uint64)
+                for i, t in enumerate(texts):
+                    found = shingle_set(t, size)
+                    fps[i], nodes[i] = majority(found), xxhash.xxh64_intdigest(found.tobytes(), SEED)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64))], names=[*kept, "fp", "node"])
+
+    prints, _ = spill(rows.mapInArrow(run, f"{schema}, fp long, node long"), "simhash-prints")
+    distinct, _ = spill(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    if similarity is None:
+        links = link(distinct.select("node", "fp"), max_diff)
+    else:
         texts = docs.select(F.col(row_col).alias("row_key"), F.col(text_col).alias("text"))
-        links = alike(links.distinct(), prints, texts, size, similarity)
+        links = alike_links(distinct.select("node", "fp"), prints, texts, size, similarity, max_diff)
     roots = components(links)
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_print = placed.join(names, "root").select("fp", "root", "component_id")
-    return prints.join(by_print, "fp").select(*kept, "fp", "root", "component_id")
+    by_node = placed.join(names, "root").select("node", "root", "component_id")
+    return prints.join(by_node, "node").select(*kept, "fp", "root", "component_id")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -165,6 +165,55 @@ def test_gray_index_finds_every_pair():
     assert len(q) == int((np.bitwise_count(x[:, None] ^ x[None, :]) <= 4).sum())
 
 
+def _roots(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_near_groups_by_similarity_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghij"), 4)) for _ in range(800)]
+    texts = [None, "", " ", "one", "one two three"]
+    for _ in range(12):
+        base = list(rng.choice(words, int(rng.integers(20, 200))))
+        for edits in (0, 0, 1, 2, 4, 6):
+            other = list(base)
+            for at in rng.integers(0, len(base), edits):
+                other[at] = str(rng.choice(words))
+            texts.append(" ".join(other))
+        texts += [" ".join(base[: len(base) * 5 // 6]), " ".join(base * 3 + list(rng.choice(words, 30)))]
+    line = " ".join(rng.choice(words, 12))
+    texts += ["\n".join([line] * 60) + " " + " ".join(rng.choice(words, 40)) for _ in range(3)]  # alike only with repeats counted
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    prints = [simhash.majority(simhash.shingle_set(t, 5)) if x else 0 for t, x in zip(texts, sets, strict=True)]
+    same = lambda a, b: sets[a] == sets[b] or (prints[a] ^ prints[b]).bit_count() <= 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    root = _roots(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if same(a, b)])
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row_key long, doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_groups(docs, size=5, max_diff=10, similarity=0.8, row_col="row_key").collect()}
+    assert found == dict(enumerate(root))
+    assert 20 < len(set(root)) < len(texts) - 20
+    assert simhash.near_groups(docs.limit(0), size=5, max_diff=10, similarity=0.8, row_col="row_key").count() == 0
+
+
+def test_index_links_across_blocks_match_brute_force(spark):
+    rng = np.random.default_rng(12)
+    x = rng.integers(0, 1 << 63, 6).astype(np.uint64)
+    for _ in range(3):
+        x = np.concatenate([x, x ^ (np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)), x ^ (np.uint64(5) << rng.integers(0, 60, len(x)).astype(np.uint64))])
+    group = rng.integers(0, 5, len(x))
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    rows = spark.createDataFrame([(i, int(f.view(np.int64)), int(g)) for i, (f, g) in enumerate(zip(x, group, strict=True))], "node long, fp long, group long")
+    expected = {(a, b) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True) if group[a] != group[b]}
+    for block in (8, 8192):
+        found = [(min(r.u, r.v), max(r.u, r.v)) for r in simhash.link(rows, 4, block=block, cross=True).collect()]
+        assert len(found) == len(expected) and set(found) == expected
+        tree = [(r.u, r.v) for r in simhash.link(rows.drop("group"), 4, block=block).collect()]
+        assert _roots(len(x), tree) == _roots(len(x), list(zip(*np.nonzero(near), strict=True)))
+
+
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, PHRASE + "and the answer is forty two"), (2, None), (3, "..."), (4, "nothing like any of these words is anywhere at all in here")], "item_id long, text string")
     texts = [(1, "before it " + PHRASE + "and the answer is forty two after it"), (2, "before it " + PHRASE.replace("gamma", "gam").replace("nu", "new") + "and the answer is forty two"), (3, "quite different prose of its own kind " * 20), (None, None)]
