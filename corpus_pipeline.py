@@ -21,7 +21,7 @@ from holdfast.llm.shared import ROW, as_table, documents, keyed, spill
 #: For the near-duplicate stage: words in a shingle, differing bits of two fingerprints that make
 #: them a candidate, and the share of common shingles that makes them near copies.
 SHINGLE = 5
-MAX_DIFF = 10
+MAX_DIFF = 12
 SIMILARITY = 0.8
 
 

@@ -46,20 +46,27 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """64 bits: set where over half of the shingles' XXH64 values have them set."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """The XXH64 values of all shingles, repeats included; fewer words than a shingle are one, none give none."""
     words = words_of(text)
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
-    if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, SEED)
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    ends = (starts + lengths)[size - 1 :].tolist()
+    ends = (starts + lengths)[min(size, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends, strict=False)), dtype=np.uint64, count=len(ends))
-    return majority(hashes)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends, strict=False)), dtype=np.uint64, count=len(ends))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The values of ``shingle_hashes`` without repeats, in order."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """64 bits: set where over half of the shingles' XXH64 values have them set."""
+    return majority(shingle_hashes(text, size))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -217,16 +224,17 @@ def link(distinct: DataFrame, most: int, *, block: int = MOST, cross: bool = Fal
     signed = F.array(*(F.lit(_signed(m)) for m in chosen))
     unsigned = np.array(chosen, dtype=np.uint64)
     rows = distinct.select(*distinct.columns, F.explode(F.sequence(F.lit(0), F.lit(len(chosen) - 1))).alias("table"))
-    rows = rows.withColumn("pattern", F.col("fp").bitwiseAND(F.element_at(signed, F.col("table") + 1)))
-    large = rows.groupBy("table", "pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    pattern = F.col("fp").bitwiseAND(F.element_at(signed, F.col("table") + 1))
+    large = rows.groupBy("table", pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
     large, path = spill(large, "simhash-large")
-    if large.isEmpty():
-        rows = rows.withColumns({"own": F.lit(0), "left": F.lit(0), "right": F.lit(0)})
+    keys = ["table", "pattern", "left", "right"]
+    if large.isEmpty():  # what follows from the fingerprint is not sent along
+        rows = rows.repartition("table", pattern).withColumns({"pattern": pattern, "own": F.lit(0), "left": F.lit(0), "right": F.lit(0)})
     else:
+        rows = rows.withColumn("pattern", pattern)
         blocks = F.ceil(F.coalesce("n", F.lit(1)) / block).cast("int")
         rows = rows.join(large, ["table", "pattern"], "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")})
-    keys = ["table", "pattern", "left", "right"]
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"left": F.least("own", "other"), "right": F.greatest("own", "other")}).repartition(*keys)
     read = ["fp", "node", "own", *keys, *(["group"] if cross else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +267,7 @@ def link(distinct: DataFrame, most: int, *, block: int = MOST, cross: bool = Fal
         if held is not None and len(held[0]) and (out := give(held, np.array([0, len(held[0])]))) is not None:
             yield out
 
-    found = rows.repartition(*keys).sortWithinPartitions(*keys).select(*read).mapInArrow(run, "u long, v long")
+    found = rows.sortWithinPartitions(*keys).select(*read).mapInArrow(run, "u long, v long")
     found, _ = spill(found, "simhash-links")
     return found
 
@@ -284,15 +292,6 @@ def components(links: DataFrame) -> DataFrame:
         state = seen
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """The distinct shingles' XXH64 values; fewer words than a shingle are one, none give none."""
-    words = words_of(text)
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined = (b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64))
-
-
 def alike(links: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
     """Links whose two nodes share ``similarity`` of their shingles; a node's rows all have the same ones."""
     named = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
