@@ -83,6 +83,7 @@ class GrayIndex:
     def __init__(self, fingerprints: np.ndarray) -> None:
         self.order = np.argsort(gray_rank(fingerprints), kind="stable")
         self.items = fingerprints[self.order]
+        self.runs = np.resize(self.items, -(-len(self.items) // FAN) * FAN).reshape(-1, FAN)
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         #: From the items up: pattern, mask of all shared bits, and number of items below.
         levels = [(self.items, np.full(len(self.items), full))]
@@ -110,6 +111,11 @@ class GrayIndex:
             q, node, sum_ = q[live], node[live], sum_[live]
             if depth == 0:
                 break
+            if depth == 1:  # the runs that are left: their items as rows, whole differences at once
+                hit, place = np.nonzero(np.bitwise_count(queries[q][:, None] ^ self.runs[node]) <= most)
+                q, node = q[hit], node[hit] * FAN + place
+                inside = (node < len(self.items)) & (node > after[q])
+                return q[inside], node[inside]
             pattern, own = self.levels[depth - 1]
             q, sum_ = np.repeat(q, FAN), np.repeat(sum_, FAN)
             node = (node[:, None] * FAN + np.arange(FAN)).ravel()
