@@ -93,7 +93,7 @@ class UnitEncoder:
     whole.  New units go to the library together; the id of the line feed marks where each ends.
     """
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
