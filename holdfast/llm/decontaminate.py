@@ -225,9 +225,6 @@ def item_blocks(benchmark: DataFrame, block: int = BLOCK) -> list[DataFrame]:
     return [items.filter(F.pmod(F.xxhash64("text"), parts) == i) for i in range(parts)]
 
 
-_indexes: dict[int, Index] = {}
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, item_id, cosine, share and answer_share of each text that holds an item; and its row key if named."""
     spark = docs.sparkSession

@@ -181,14 +181,20 @@ def _double_space(text: str) -> bool:
     return text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or not text.isascii() and any(r in text for r in _WIDE)
 
 
-_encoders: dict[str, UnitEncoder] = {}
+_resident: dict = {}
+
+
+def resident(key, make):
+    """What ``make`` gives, kept in the Python worker for its next tasks in place of what was kept before."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
 
 
 def encoder(path: str) -> UnitEncoder:
     """One encoder for each Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    return resident(("encoder", path), lambda: UnitEncoder(path))
 
 
 def crc(data: bytes) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import documents, fold_of, words_of
+from .shared import documents, fold_of, resident, words_of
 
 WINDOW = 8
 BUCKETS = 1 << 17
@@ -194,16 +194,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "do
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-_models: dict[tuple, Model] = {}
-
-
 def _model(value: tuple[np.ndarray, float]) -> Model:
     """One model for each Python worker, so that its words stay known from task to task."""
-    key = (value[1], float(value[0].sum()), float(value[0][::101].sum()))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(*value)
-    return _models[key]
+    key = ("toxicity", value[1], float(value[0].sum()), float(value[0][::101].sum()))
+    return resident(key, lambda: Model(*value))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
