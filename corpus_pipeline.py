@@ -45,7 +45,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id (then the first in the table)."""
     table, _ = as_table(docs)
-    groups = simhash.near_groups(keyed(table), size=SHINGLE, max_diff=MAX_DIFF, similarity=SIMILARITY, row_col=ROW)
+    groups = simhash.near_groups(keyed(table), size=SHINGLE, max_diff=MAX_DIFF, similarity=SIMILARITY, row_col=ROW, every=True)
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
     kept = groups.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row_key").alias(ROW))
     return _keep(table, kept, "left_semi")

@@ -10,7 +10,8 @@ differences from level to level and drops a whole run once they exceed ``max_dif
 
 An upper node of over ``MOST`` fingerprints is dealt over tasks as pairs of blocks of it, so no
 task holds more than two blocks.  A task sends on a spanning forest of its links, at most one link
-a fingerprint.  Components come from alternating star operations, each round written to the
+a fingerprint.  Where pairs count by their common shingles, those beyond ``max_diff`` bits are
+found by the shingles themselves (``set_links``), so no pair is lost there either.  Components come from alternating star operations, each round written to the
 shared folder; neither links nor components reach the driver.
 
 Defined results: null text is empty; a text without words has fingerprint zero; fewer words than a
@@ -21,7 +22,7 @@ repeat are members each; an empty table gives no row.  Further columns are not r
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ FAN = 16
 MOST = 8192
 SPREAD = 512
 SEED = 42
+#: For the order of shingles: one text in so many is counted, and so many of the shingles met in
+#: ``OFTEN`` counted texts come last.  The order decides what is compared, not what is found.
+SAMPLE = 16
+OFTEN = 4
+LAST = 200_000
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -64,6 +70,19 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
+def lead(found: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, those of ``last`` behind all others: two sets that share ``similarity`` share one of them.
+
+    Each has at least that part of its shingles in the other, so the first common one lies among
+    the first that are more than the rest can be.
+    """
+    count = len(found) - int(np.ceil(similarity * len(found) - 1e-6)) + 1 if len(found) else 0
+    if len(last) and len(found):
+        often = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+        found = np.concatenate([found[~often], found[often]])
+    return found[:count]
+
+
 def fingerprint(text: str | None, size: int = 4) -> int:
     """64 bits: set where over half of the shingles' XXH64 values have them set."""
     return majority(shingle_hashes(text, size))
@@ -316,38 +335,120 @@ def alike(links: DataFrame, prints: DataFrame, rows: DataFrame, size: int, simil
     return kept
 
 
-def alike_links(distinct: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float, most: int) -> DataFrame:
+def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
+    """The shingles met most often in a sample of the texts by hash, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                found = shingle_set(t, size)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
+
+    sample = rows.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    found = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    table = found.orderBy(F.desc("n"), "shingle").limit(LAST).select("shingle").toArrow()
+    return np.sort(table.column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def set_links(placed: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of different groups that may share ``similarity`` of their shingles; no such pair is left out.
+
+    Rows are node, group, n (its number of shingles) and lead (the first of them).  Common
+    shingles are among the two leads or in the rest of the set whose lead ends first.
+    """
+    keys = placed.select("node", "group", "n", F.explode("lead").alias("shingle")).repartition("shingle").sortWithinPartitions("shingle", "n")
+
+    def pairs(node: np.ndarray, group: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # In order of size: partners of a set lie between it and the first that is too large.
+        ends = np.searchsorted(n, n / similarity + 1e-6, side="right")
+        for begin in range(0, len(n), 256):
+            reach = np.arange(begin, min(begin + 256, len(n)))
+            counts = ends[reach] - reach - 1
+            a = np.repeat(reach, counts)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
+            apart = group[a] != group[b]
+            a, b = a[apart], b[apart]
+            if len(a):
+                swap = node[a] > node[b]
+                a, b = np.where(swap, b, a), np.where(swap, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], names=["u", "v", "n_u", "n_v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                new = [batch.column(i).to_numpy() for i in range(4)]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            node, group, n, shingle = held
+            cuts = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]])
+            full = len(cuts) - 1 - (batch is not None)  # the last shingle may go on
+            first, last = cuts[:full], cuts[1 : full + 1]
+            small = last - first == 2  # most are of two sets
+            a = first[small]
+            a = a[(group[a] != group[a + 1]) & (n[a] >= similarity * n[a + 1] - 1e-6)]
+            if len(a):
+                swap = node[a] > node[a + 1]
+                a, b = np.where(swap, a + 1, a), np.where(swap, a, a + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], names=["u", "v", "n_u", "n_v"])
+            for i, j in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
+                if (group[i:j] != group[i]).any():
+                    yield from pairs(node[i:j], group[i:j], n[i:j])
+            held = [x[cuts[full] :] for x in held]
+
+    met = keys.select("node", "group", "n", "shingle").mapInArrow(run, "u long, v long, n_u int, n_v int").groupBy("u", "v", "n_u", "n_v").agg(F.count(F.lit(1)).alias("c"))
+    rest = F.greatest(*(F.ceil(F.col(x) * similarity - 1e-6) - 1 for x in ("n_u", "n_v")))
+    least = (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6
+    found, _ = spill(met.filter(F.col("c") + rest >= least).select("u", "v"), "simhash-sets-met")
+    return found
+
+
+def alike_links(distinct: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float, most: int, every: bool = False) -> DataFrame:
     """Links (u, v) with the components of all pairs within ``most`` bits that share ``similarity``.
 
     A spanning link that is not alike may hide one that is, so the index is searched a second time:
-    every pair whose nodes the alike spanning links leave apart is compared as well.
+    every pair whose nodes the alike spanning links leave apart is compared as well.  With ``every``
+    those nodes are searched by their shingles instead, and the pairs are all that share
+    ``similarity``, at whatever number of bits.
     """
     spanning = alike(link(distinct, most).distinct(), prints, rows, size, similarity)
     roots = components(spanning)
     placed = distinct.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group"))
     placed, path = spill(placed, "simhash-placed")
-    more = alike(link(placed, most, cross=True), prints, rows, size, similarity)
+    if every:
+        leads = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"))
+        beyond = set_links(placed.select("node", "group").join(leads, "node"), similarity)
+    else:
+        beyond = link(placed, most, cross=True)
+    more = alike(beyond, prints, rows, size, similarity)
     remove(distinct.sparkSession, path)
     return spanning.unionByName(more)
 
 
 def near_groups(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_diff: int = 4, similarity: float | None = None, row_col: str | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_diff: int = 4, similarity: float | None = None, row_col: str | None = None, every: bool = False
 ) -> DataFrame:
     """One row a document: doc_id, fp, root (node that stands for the group), component_id; and its row key if named.
 
     Without ``similarity`` a node is a fingerprint.  With it (it needs the row key) a node is a set
     of shingles, the fingerprint is that of the distinct shingles, and a link found by the index
-    also has to reach that share of common shingles.
+    also has to reach that share of common shingles.  With ``every`` all pairs that reach it are
+    links, also those whose fingerprints differ in more than ``max_diff`` bits.
     """
     more = [F.col(row_col).alias("row_key")] if row_col else []
     rows = docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).alias("text"))
     kept = [n for n in rows.columns if n != "text"]
     schema = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in kept)
 
+    every = every and similarity is not None
+    last = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, size)) if every else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
+            leads = []
             if similarity is None:
                 fps = nodes = np.fromiter((fingerprint(t, size) for t in texts), dtype=np.uint64, count=len(texts))
             else:
@@ -355,15 +456,18 @@ def near_groups(
                 for i, t in enumerate(texts):
                     found = shingle_set(t, size)
                     fps[i], nodes[i] = majority(found), xxhash.xxh64_intdigest(found.tobytes(), SEED)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64))], names=[*kept, "fp", "node"])
+                    if every:
+                        leads.append((len(found), lead(found, last.value, similarity).view(np.int64)))
+            more_ = [pa.array([n for n, _ in leads], pa.int32()), pa.array([x for _, x in leads], pa.list_(pa.int64()))] if every else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), *more_], names=[*kept, "fp", "node", *(["n", "lead"] if every else [])])
 
-    prints, _ = spill(rows.mapInArrow(run, f"{schema}, fp long, node long"), "simhash-prints")
+    prints, _ = spill(rows.mapInArrow(run, f"{schema}, fp long, node long" + (", n int, lead array<long>" if every else "")), "simhash-prints")
     distinct, _ = spill(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     if similarity is None:
         links = link(distinct.select("node", "fp"), max_diff)
     else:
         texts = docs.select(F.col(row_col).alias("row_key"), F.col(text_col).alias("text"))
-        links = alike_links(distinct.select("node", "fp"), prints, texts, size, similarity, max_diff)
+        links = alike_links(distinct.select("node", "fp"), prints, texts, size, similarity, max_diff, every)
     roots = components(links)
     placed = distinct.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     names = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))

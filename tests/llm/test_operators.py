@@ -198,6 +198,30 @@ def test_near_groups_by_similarity_match_brute_force(spark):
     assert simhash.near_groups(docs.limit(0), size=5, max_diff=10, similarity=0.8, row_col="row_key").count() == 0
 
 
+def test_every_near_copy_is_found_beyond_the_bits(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    line = " ".join(rng.choice(words, 30))
+    texts = [None, "", "one two", line]
+    for i in range(120):  # few edits each: 0.75 to 0.95 of the shingles in common
+        base = list(rng.choice(words, int(rng.integers(80, 200))))
+        other = list(base)
+        for at in rng.choice(len(base), max(1, len(base) // int(rng.integers(40, 120))), replace=False):
+            other[at] = str(rng.choice(words))
+        texts += [" ".join(base) + " " + line * (i % 3 == 0), " ".join(other) + " " + line * (i % 3 == 0), " ".join(base[: len(base) * 41 // 50])]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    prints = [simhash.majority(simhash.shingle_set(t, 5)) if x else 0 for t, x in zip(texts, sets, strict=True)]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    within = [(a, b) for a, b in pairs if (prints[a] ^ prints[b]).bit_count() <= 12]
+    expected = _roots(len(texts), pairs)
+    assert _roots(len(texts), within) != expected  # some pairs are beyond the index
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row_key long, doc_id long, text string")
+    for sample in (1, 16):  # the order of the shingles has no say in the result
+        monkeypatch.setattr(simhash, "SAMPLE", sample)
+        found = {r.doc_id: r.component_id for r in simhash.near_groups(docs, size=5, max_diff=12, similarity=0.8, row_col="row_key", every=True).collect()}
+        assert found == dict(enumerate(expected))
+
+
 def test_index_links_across_blocks_match_brute_force(spark):
     rng = np.random.default_rng(12)
     x = rng.integers(0, 1 << 63, 6).astype(np.uint64)
