@@ -3,8 +3,9 @@
 A word is the bag of its hashed character n-grams (3 to 6 letters with the word's bounds); its
 vector is the mean of theirs, so a misspelling that was never met shares most of its n-grams with
 the word it comes from.  A passage (``WINDOW`` words, the next one starting half a
-passage on) is the mean of its words' vectors; a linear softmax gives its probability.  A run
-of one word counts once.  A text is as toxic as its worst passage, so that a few words in a very long text still count.
+passage on) is the mean of its words' vectors; a linear softmax gives its probability.  A word of
+over ``LONG`` letters is read in pieces that overlap by 5, so that each of its n-grams is in one, and
+each piece counts as a word.  A run of one word counts once.  A text is as toxic as its worst passage, so that a few words in a very long text still count.
 
 Embeddings and softmax are trained jointly, in numpy, by Adam.  In training, the passage of a text
 that scores highest carries the text's label (others of a toxic text are not evidence).  The
@@ -34,6 +35,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from .shared import documents, fold_of, resident, words_of
 
 WINDOW = 8
+#: Letters of a word that is read at once, and of the pieces of a longer one.
+LONG = 24
+PIECE = 16
 BUCKETS = 1 << 17
 WIDTH = 12
 MOST_TEXTS = 10_000
@@ -44,15 +48,23 @@ UPDATES = 1250
 
 
 def grams(word: bytes) -> list[int]:
-    """Hash buckets of the word's character n-grams; a word of over 24 letters counts by its ends."""
-    text = "<" + word.decode("utf-8", "replace") + ">"
-    body = text if len(text) <= 26 else text[:13] + text[-13:]
+    """Hash buckets of the character n-grams of a word, or of a piece of one, whose bounds are its own."""
+    text = word.decode("utf-8", "replace")
+    body = text[1:] if text.startswith(" ") else f"<{text}>"
     return [zlib.crc32(body[i : i + n].encode()) % BUCKETS for n in (3, 4, 5, 6) for i in range(len(body) - n + 1)]
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """The word itself, or the pieces of a long one with its bounds; a blank, which no word holds, marks them."""
+    if len(word) <= LONG or len(text := word.decode("utf-8", "replace")) <= LONG:
+        return [word]
+    body = f"<{text}>"
+    return [b" " + body[i : i + PIECE].encode() for i in range(0, len(body) - 5, PIECE - 5)]
+
+
 def passage_words(text: str | None) -> list[bytes]:
-    """The words of a text, a run of one word counting once, so that no passage is one word over and over."""
-    return [w for w, _ in groupby(words_of(text))]
+    """The words of a text, long ones in pieces, a run of one counting once, so that no passage is one word over and over."""
+    return [w for w, _ in groupby(p for w in words_of(text) for p in pieces(w))]
 
 
 def windows(n: int, size: int = WINDOW) -> np.ndarray:

@@ -264,6 +264,23 @@ def test_toxicity_ranks_held_out_texts_and_shares_subwords():
     assert model.score(None) == model.score(" \n") < 0.5 and toxicity.fit([], [])[1] < -30
 
 
+def test_toxicity_reads_long_words_whole():
+    word = "".join(np.random.default_rng(8).choice(list("abcdeghlnorstué漢"), 400))
+    body = f"<{word}>"
+    expected = {zlib.crc32(body[i : i + n].encode()) % toxicity.BUCKETS for n in (3, 4, 5, 6) for i in range(len(body) - n + 1)}
+    parts = toxicity.passage_words(word)
+    assert {g for p in parts for g in toxicity.grams(p)} == expected == set(toxicity.grams(word.encode()))
+    assert max(map(len, parts)) <= 1 + 3 * toxicity.PIECE and toxicity.passage_words("x" * 24) == [b"x" * 24]
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdeghlnorstu"), 5)) for _ in range(2000)]
+    plain = [list(rng.choice(words, 40)) for _ in range(900)]
+    texts = [" ".join(t) for t in plain] + [" ".join([*t[:30], "wxyzzyfoul", *t[30:]]) for t in plain[:250]]
+    model = toxicity.Model(*toxicity.fit(texts, [0] * 900 + [1] * 250))
+    for joint in ("-", "_", ",", "/", "\u00a0", "\u3000"):
+        pairs = [(model.score(joint.join(t)), model.score(joint.join([*t[:20], "wxyzzyfoul", *t[20:]]))) for t in plain[800:]]
+        assert np.mean([foul > clean for clean, foul in pairs]) >= 0.9
+
+
 def test_toxicity_accuracy_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
