@@ -4,7 +4,10 @@ Benchmark items are cut into passages of at most ``PASSAGE`` words.  Their TF-ID
 factored by a randomised SVD whose products run over the cluster's partitions of the passages; the
 right singular vectors give every word a latent vector.  A text is folded in window by window
 (32, 64 and 128 words, each overlapping the next by half); windows and the passages of their scale
-whose cosine reaches ``NEAR`` are candidates.  A candidate is judged on words around the window:
+whose cosine reaches ``NEAR`` are candidates.  So are, at any cosine, windows around which enough of an
+item's words lie: an item that is there has one of its ``keys`` there, so each key met in a text
+leads to the windows around it, and no window that would pass is left out.  A candidate is judged on
+words around the window:
 
 * the longest common subsequence of item and text covers at least ``MATCH`` of the item, or
 * it covers at least ``PARAPHRASE`` and the item's answer (its last sentence) is there as well.
@@ -92,6 +95,15 @@ class Index:
         self.need = [int(np.ceil(PARAPHRASE * len(w) - 1e-9)) - r for w, r in zip(self.words, self.again, strict=True)]
         self.reach = max(map(len, self.words))
         self.row_of = row_of
+        #: Of each word the items that have it as a key, one after the other.
+        held: list[list[int]] = [[] for _ in row_of]
+        for n, words in enumerate(self.sets):
+            for w in keys(words, self.need[n], idf, row_of):
+                held[row_of[w]].append(n)
+        self.item_rows = [np.array([row_of[w] for w in x], dtype=np.int64) for x in self.sets]
+        self.key_count = np.array([len(x) for x in held], dtype=np.int64)
+        self.key_first = np.cumsum(self.key_count) - self.key_count
+        self.key_items = np.array([n for x in held for n in x], dtype=np.int64)
         self.weighted = (vectors * idf[:, None]).astype(np.float32)
         self.scales: list[tuple[np.ndarray, np.ndarray]] = []
         for k, units in enumerate(SCALES):
@@ -104,6 +116,24 @@ class Index:
                         whose.append(n)
             self.scales.append((np.array(whose, dtype=np.int64), np.array(rows, dtype=np.float32).reshape(len(rows), vectors.shape[1])))
 
+    def met(self, texts: list[list[bytes]], rows: np.ndarray, text: np.ndarray, place: np.ndarray) -> list[tuple[int, int, list[int]]]:
+        """(text, item, places of its keys) wherever a text has as many of the item's words as a match needs."""
+        hits = np.flatnonzero(self.key_count[rows])
+        counts = self.key_count[rows[hits]]
+        which = self.key_items[np.repeat(self.key_first[rows[hits]], counts) + np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)]
+        at = np.repeat(hits, counts)
+        order = np.lexsort((place[at], which, text[at]))
+        at, which = at[order], which[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (text[at[1:]] != text[at[:-1]])])) if len(at) else np.zeros(0, dtype=np.int64)
+        out, last = [], -1
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True) if len(at) else ():
+            t, n = int(text[at[a]]), int(which[a])
+            if t != last:
+                last, whole = t, set(texts[t])
+            if len(self.sets[n] & whole) >= self.need[n]:
+                out.append((t, n, place[at[a:b]].tolist()))
+        return out
+
     def judge(self, n: int, words: list[bytes], begin: int, end: int) -> tuple[float, float] | None:
         """Shares of the item and of its answer found around words begin..end, if they suffice."""
         item = self.words[n]
@@ -122,6 +152,9 @@ class Index:
         rows = np.fromiter(chain.from_iterable(map(find, t, repeat(-1)) for t in texts), dtype=np.int64, count=int(sizes.sum()))
         unit = np.repeat(np.concatenate([[0], np.cumsum(units)[:-1]]), sizes) + (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // UNIT
         live = rows >= 0
+        inside = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        met = self.met(texts, rows[live], np.repeat(np.arange(len(texts)), sizes)[live], inside[live])
+        every, first_row, own = rows, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.zeros(len(self.row_of) + 1, dtype=bool)
         rows, unit = rows[live], unit[live]
         first_unit = np.cumsum(units) - units
         total = np.zeros((int(units.sum()) + 1, self.weighted.shape[1]), dtype=np.float32)
@@ -141,6 +174,12 @@ class Index:
             end = np.minimum(begin + width, units[text])
             window = (total[first_unit[text] + end] - total[first_unit[text] + begin]).astype(np.float32)
             window /= np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
+            def take(i: int, n: int, c: float) -> None:
+                t = int(text[i])
+                found = self.judge(n, texts[t], int(begin[i]) * UNIT, int(end[i]) * UNIT)
+                if found and (c, *found) > best.get((t, n), (-2.0, 0.0, 0.0)):
+                    best[t, n] = (c, *found)
+
             for a in range(0, len(window), 8192):
                 cosine = window[a : a + 8192] @ vectors.T
                 at, which = np.nonzero(cosine >= NEAR)
@@ -148,17 +187,39 @@ class Index:
                 for i, j in zip(at.tolist(), which.tolist(), strict=True):
                     if i != last:
                         last, t = i, int(text[a + i])
-                        first_word, last_word = int(begin[a + i]) * UNIT, int(end[a + i]) * UNIT
-                        near = set(texts[t][max(0, first_word - self.reach) : last_word + self.reach])
+                        near = set(texts[t][max(0, int(begin[a + i]) * UNIT - self.reach) : int(end[a + i]) * UNIT + self.reach])
                     n = int(whose[j])
-                    if len(near & self.sets[n]) < self.need[n]:
-                        continue
-                    c, found = float(cosine[i, j]), self.judge(n, texts[t], first_word, last_word)
-                    if found and (c, *found) > best.get((t, n), (-1.0, 0.0, 0.0)):
-                        best[t, n] = (c, *found)
+                    if len(near & self.sets[n]) >= self.need[n]:
+                        take(a + i, n, float(cosine[i, j]))
+            first_window = np.cumsum(counts) - counts
+            rows_of: dict[int, list[int]] = {}
+            for j, n in enumerate(whose.tolist()):
+                rows_of.setdefault(n, []).append(j)
+            for t, n, places in met:
+                if n not in rows_of:
+                    continue
+                size, most = len(self.words[n]), int(counts[t])
+                at = np.array(places)[:, None]
+                ks = np.unique(np.clip((at - size) // UNIT // hop + np.arange(-2, 4 + 2 * size // (UNIT * hop)), 0, most - 1)) + int(first_window[t])
+                # The item's words around each window, repeats included: a common subsequence is no longer.
+                own[self.item_rows[n]] = True
+                held = np.concatenate([[0], np.cumsum(own[every[first_row[t] : first_row[t + 1]]])])
+                own[self.item_rows[n]] = False
+                low, high = np.maximum(begin[ks] * UNIT - size, 0), np.minimum(end[ks] * UNIT + size, int(sizes[t]))
+                for i in ks[held[high] - held[low] >= PARAPHRASE * size - 1e-9].tolist():
+                    first_word, last_word = int(begin[i]) * UNIT, int(end[i]) * UNIT
+                    if len(self.sets[n].intersection(texts[t][max(0, first_word - size) : last_word + size])) >= self.need[n]:
+                        c = float((vectors[rows_of[n]] @ window[i]).max())
+                        if c < NEAR + 1e-3:  # the others have been judged
+                            take(i, n, c)
         return [(t, n, *v) for (t, n), v in best.items()]
 
 
+def keys(words: set[bytes], need: int, idf: np.ndarray, row_of: dict[bytes, int]) -> list[bytes]:
+    """The rarest words of an item, one of which is in every text that has ``need`` of its words (one at least)."""
+    return sorted(words, key=lambda w: (-idf[row_of[w]], -len(w), w))[: len(words) - max(1, need) + 1]
+
+
 def passages(words: list[bytes]) -> list[list[bytes]]:
     return [words[i : i + PASSAGE] for i in range(0, max(1, len(words) - STEP), STEP)] if len(words) > PASSAGE else [words]
 

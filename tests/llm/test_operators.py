@@ -246,6 +246,37 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.matches(empty, items).count() == 0 and decontaminate.matches(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_what_a_full_scan_finds(spark):
+    rng = np.random.default_rng(14)
+    words = ["".join(rng.choice(list("abcdefghijklm"), 4)) for _ in range(4000)]
+    pick = lambda n: [str(w) for w in rng.zipf(1.3, n).clip(1, 4000) - 1]
+    prose = lambda n: [words[int(i)] for i in pick(n)]
+    items = [prose(int(rng.integers(15, 140))) for _ in range(150)]
+    texts = []
+    for n in range(60):
+        item = list(items[n])
+        if n % 2:  # a paraphrase: a third of the words before it are others, the answer stays
+            for at in rng.choice(len(item) - 8, (len(item) - 8) // 3, replace=False):
+                item[at] = str(rng.choice(words))
+        texts.append(prose(int(rng.integers(0, 90))) + item + prose(int(rng.integers(0, 90))))
+    table = spark.createDataFrame([(i, " ".join(x[:-8]) + ". " + " ".join(x[-8:])) for i, x in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    index = decontaminate.build_index(table)
+    plain = [decontaminate.plain_words(" ".join(x)) for x in texts]
+    expected = set()
+    for n in range(len(index.words)):
+        widths = [w * decontaminate.UNIT for (whose, _), w in zip(index.scales, decontaminate.SCALES, strict=True) if n in whose]
+        for t, x in enumerate(plain):
+            if len(set(x) & index.sets[n]) >= max(1, index.need[n]):
+                last = -(-len(x) // decontaminate.UNIT) * decontaminate.UNIT
+                if any(index.judge(n, x, b, min(b + w, last)) for w in widths for b in range(0, len(x), w // 2)):
+                    expected.add((t, index.ids[n]))
+    rows = decontaminate.matches(docs, table).collect()
+    found = [(r.doc_id, r.item_id) for r in rows]
+    assert len(found) == len(set(found)) and set(found) == expected and len(expected) >= 50
+    assert min(r.cosine for r in rows) < decontaminate.NEAR  # some are no latent candidates
+
+
 def test_common_subsequence():
     assert decontaminate.common_subsequence(b"a b c d e".split(), b"a x c y e a b".split()) == 3
 
