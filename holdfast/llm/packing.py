@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, encoder
+from .shared import documents, encoder, lean
 
 CAPACITY = 2048
 GRAIN = 32
@@ -108,9 +108,9 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         for batch in batches:
             id_type = batch.schema.field(0).type
             names = batch.column(0).to_pylist()
-            for begin in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(begin, 256).to_pylist()
-                for name, raw in zip(names[begin : begin + 256], enc.encode(texts), strict=True):
+            for begin in range(0, batch.num_rows, 2048):
+                texts = batch.column(1).slice(begin, 2048).to_pylist()
+                for name, raw in zip(names[begin : begin + 2048], enc.encode(texts), strict=True):
                     raw += end
                     total, start = len(raw) // 4, 0
                     for length in cuts(total, capacity, grain):
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return rows.mapInArrow(lean(run, keeps=True), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -6,16 +6,18 @@ executor can read again after any other executor is lost.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
-import zlib
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import compress
 from operator import is_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,108 +67,179 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class Packed:
-    """Spark SQL binary column of little-endian numbers <-> numpy."""
+#: ASCII marks that may end a word and then form one piece of their own.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
-    @staticmethod
-    def dump(a: np.ndarray, kind: str) -> bytes:
-        return np.ascontiguousarray(a, dtype=kind).tobytes()
 
-    @staticmethod
-    def load(b: bytes, kind: str) -> np.ndarray:
-        return np.frombuffer(b, dtype=kind)
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def table_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],
-        schema=schema,
-    )
+_LETTERS = _byte_letters()
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items that ``codes`` name, laid end to end, and where each of them begins and the last one ends."""
+    own = sizes[codes]
+    edges = np.concatenate([[0], np.cumsum(own)])
+    return ids[np.repeat(starts[codes] - edges[:-1], own) + np.arange(int(edges[-1]))], edges
 
 
 class UnitEncoder:
-    """Whole-text encoding by the tokenizers library with a bounded cache of space-led units.
+    """Whole-text encoding by the tokenizers library with a bounded cache of words.
 
     The byte-level pre-tokenizer always starts a new piece at a single space or line feed that
     stands between two other characters, so the ids of a text are the ids of its units laid end to
     end.  A text with other white space, or with two such characters in a row, goes to the library
-    whole.  New units go to the library together; the id of the line feed marks where each ends.
+    whole.  A unit of Latin letters and then ASCII marks is two pieces: its word goes to the
+    library's model as the one piece it is, and is kept; its marks, and every other unit, go through
+    the whole tokenizer.  New ones go there together; the id of the line feed marks where each ends.
+    Arrow kernels cut the texts and number the distinct units, which are looked up once a call.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 250_000, chunk: int = 4 << 20) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
-        self.led: dict[str, bytes] = {}
+        self.most, self.chunk = most, chunk
+        #: Ids of words, led by their space or line feed, and of other units; and those of the turn before.
+        self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.feed = self._ids("\n")
         self.plain = len(self.feed) == 4 and "ByteLevel" in str(self.tokenizer.pre_tokenizer)[:40]
+        self.pieces = Tokenizer.from_file(path)
+        self.pieces.pre_tokenizer = pre_tokenizers.Split(_LETTERS[10], "isolated")
+        probe = [" word", " Stra\u00dfe", " a\u00f1o", "a", "WORDS", " dhe"]
+        self.direct = self.plain and self.tokenizer.normalizer is None and self._pieces(probe) == [self._ids(w) for w in probe]
 
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, units: set[str]) -> None:
+    def _cut(self, ids: list[int], n: int, skip: int) -> list[bytes] | None:
+        """The ids of ``n`` items, each led by the line feed's id; None if these are not ``n``."""
+        a = np.asarray(ids, dtype="<u4")
+        at = np.flatnonzero(a == np.frombuffer(self.feed, dtype="<u4")[0])
+        if len(at) != n:
+            return None
+        raw = a.tobytes()
+        return [raw[i:j] for i, j in zip(((at + skip) * 4).tolist(), [*(at[1:] * 4).tolist(), len(raw)], strict=True)]
+
+    def _pieces(self, words: list[str]) -> list[bytes] | None:
+        """The ids of words that are one piece each."""
+        text = ("\n" + "\n".join(words)).encode().decode("latin-1").translate(_LETTERS)
+        return self._cut(self.pieces.encode_batch_fast([text], add_special_tokens=False)[0].ids, len(words), 1)
+
+    def _learn_words(self, cores: list[str]) -> None:
+        """Keep the ids of units without their marks; no ids where such a unit is not a Latin word."""
+        led, lines = [], []
+        for core in cores:
+            bare = core[1:] if core[:1] == "\n" else core
+            if self.direct and bare.isalpha() and (bare.isascii() or max(bare) < "\u0250"):
+                (led if bare is core else lines).append(core)
+            else:
+                self.words[core] = b""
+        if led or lines:
+            ids = self._pieces([" " + w for w in led] + [w[1:] for w in lines])
+            self.words.update(zip(led, ids, strict=False))
+            self.words.update((w, self.feed + i) for w, i in zip(lines, ids[len(led) :], strict=True))
+
+    def _learn_odd(self, units: list[str]) -> None:
+        """Keep the ids of whole units, and of marks alone (under a leading tab, which no unit has)."""
         inner = [u for u in units if "<" not in u and len(u.split()) == 1]
         led = [u for u in inner if u == u.strip()]
         lines = [u for u in inner if u[0] == "\n" and u[1:] == u.strip()]
-        feed = np.frombuffer(self.feed, dtype="<u4")[0]
         for own, text, skip in ((led, "\n" + "\n".join([" " + u for u in led]), 1), (lines, "".join(lines), 0)):
             if own:
-                ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-                at = np.flatnonzero(ids == feed)
-                if len(at) == len(own):
-                    raw, starts = ids.tobytes(), ((at + skip) * 4).tolist()
-                    stops = [*(at[1:] * 4).tolist(), len(raw)]
-                    self.led.update([(u, raw[a:b]) for u, a, b in zip(own, starts, stops, strict=True)])
+                found = self._cut(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, len(own), skip)
+                if found:
+                    self.odd.update(zip(own, found, strict=True))
         for u in units:
-            if u not in self.led:
-                self.led[u] = self._ids(u if u[:1] == "\n" else " " + u)
+            if u not in self.odd:
+                self.odd[u] = self._ids(u[1:] if u[0] == "\t" else u if u[0] == "\n" else " " + u) if u else self._ids(" ")
+
+    def _units(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct units laid end to end, and where each of them begins and the last one ends."""
+        if len(self.words) > self.most:  # words not met since the last turn go
+            self.words, self.older = {}, self.words
+        if len(self.odd) > self.most // 4:
+            self.odd = {}
+        trimmed = pc.ascii_rtrim(distinct, _MARKS)
+        coded = trimmed.dictionary_encode()
+        cores, core_of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        found = list(map(self.words.get, cores))
+        if None in found:
+            new = list(compress(cores, map(_missing, found)))
+            if self.older:
+                known = [w for w in new if w in self.older]
+                self.words.update((w, self.older[w]) for w in known)
+                new = [w for w in new if w not in self.words] if known else new
+            if new:
+                self._learn_words(new)
+            found = [self.words[w] if i is None else i for w, i in zip(cores, found, strict=True)]
+        word = np.fromiter(map(bool, found), dtype=bool, count=len(found))[core_of]
+        marked = pc.binary_length(distinct).to_numpy() > pc.binary_length(trimmed).to_numpy()
+        second = np.full(len(distinct), len(found), dtype=np.int64)
+        first = core_of.astype(np.int64)
+        table, place = [*found, b""], {}
+        get = self.odd.get
+        at = np.flatnonzero(~word | marked)
+        units = distinct.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist()
+        names = ["\t" + u[len(cores[c]) :] if w else u for u, c, w in zip(units, core_of[at].tolist(), word[at].tolist(), strict=True)]
+        if new := [u for u in set(names) if u not in self.odd]:
+            self._learn_odd(new)
+        for i, u, w in zip(at.tolist(), names, word[at].tolist(), strict=True):
+            k = place.get(u)
+            if k is None:
+                k = place[u] = len(table)
+                table.append(get(u))
+            if w:
+                second[i] = k
+            else:
+                first[i] = k
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        ids, edges = _gather(np.frombuffer(b"".join(table), dtype="<u4"), np.cumsum(sizes) - sizes, sizes, np.stack([first, second], axis=1).ravel())
+        return ids, edges[::2]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text, each as little-endian unsigned 32-bit integers."""
         if not self.plain:
             return [self._ids(t) if t else b"" for t in texts]
+        out, part, held = [], [], 0
         gc.disable()  # long lists without cycles; collections only walk them
         try:
-            return self._encode(texts)
+            for t in texts:
+                part.append(t)
+                held += len(t) if t else 0
+                if held >= self.chunk:
+                    out += self._encode(part)
+                    part, held = [], 0
+            return out + self._encode(part)
         finally:
             gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.led) > self.most:  # units not met since the last turn go
-            self.led, self.older = {}, self.led
-        get = self.led.get
-        cut = [None if not t or _double_space(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [parts[0] if parts else "" for parts in cut]
-        found = []
-        new: set[str] = set()
-        for parts in cut:
-            if parts:
-                del parts[0]
-                ids = list(map(get, parts))
-                if None in ids:
-                    new.update(compress(parts, map(_missing, ids)))
-                found.append(ids)
-            else:
-                found.append(None)
-        if new:
-            if self.older:
-                known = new & self.older.keys()
-                self.led.update((u, self.older[u]) for u in known)
-                new -= known
-            if new:
-                self._learn(new)
-        out = []
-        for t, parts, head, ids in zip(texts, cut, heads, found, strict=True):
-            if not t:
-                out.append(b"")
-            elif ids is None:
-                out.append(self._ids(t))
-            else:
-                if None in ids:
-                    ids = [self.led[u] if i is None else i for u, i in zip(parts, ids, strict=True)]
-                out.append((self._ids(head) if head else b"") + b"".join(ids))
+        cut = [bool(t) and not _double_space(t) for t in texts]
+        lists = pc.split_pattern(pc.replace_substring(pa.array(list(compress(texts, cut)), pa.large_string()), "\n", " \n"), " ")
+        coded = lists.values.dictionary_encode()
+        out = [self._ids(t) if t and not c else b"" for t, c in zip(texts, cut, strict=True)]
+        if not len(coded):
+            return out
+        offsets = lists.offsets.to_numpy()
+        codes = coded.indices.to_numpy()
+        heads = lists.values.take(pa.array(offsets[:-1])).to_pylist()
+        ids, begins = self._units(coded.dictionary)
+        sizes = np.diff(begins)
+        body = np.ones(len(codes), dtype=bool)
+        body[offsets[:-1]] = False  # the first unit of a text has no space before it
+        flat, edges = _gather(ids, begins[:-1], sizes, codes[body])
+        raw = memoryview(flat.astype("<u4", copy=False)).cast("B")
+        inner = (edges[offsets - np.arange(len(offsets))] * 4).tolist()
+        for i, head, a, b in zip(np.flatnonzero(cut).tolist(), heads, inner[:-1], inner[1:], strict=True):
+            out[i] = (self._ids(head) if head else b"") + raw[a:b]
         return out
 
 
@@ -187,20 +260,47 @@ _resident: dict = {}
 def resident(key, make):
     """What ``make`` gives, kept in the Python worker for its next tasks in place of what was kept before."""
     if key not in _resident:
-        _resident.clear()
+        if _resident:
+            _resident.clear()
+            release()
         _resident[key] = make()
     return _resident[key]
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library hold unused back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def lean(run: Callable, *, keeps: bool = False) -> Callable:
+    """``run`` for mapInArrow, which leaves no unused memory behind in the worker.
+
+    Workers serve one stage after the other.  Unless ``run`` ``keeps`` something resident itself,
+    what an earlier stage kept goes first.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps and _resident:
+            _resident.clear()
+            release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidy
+
+
 def encoder(path: str) -> UnitEncoder:
     """One encoder for each Python worker and file."""
     return resident(("encoder", path), lambda: UnitEncoder(path))
 
 
-def crc(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
-
-
 #: Name of the row key that stages add and drop again.
 ROW = "__holdfast_row"
 

@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import crc, documents, encoder, new_path, spill
+from .shared import documents, encoder, lean, new_path, spill
 
 MAGIC = b"HFTOK001"
 SAMPLE = 256
@@ -75,13 +75,20 @@ class EliasFano:
         part = part[first & 7 : (first & 7) + self.low_bits].astype(np.uint64)
         return (value << self.low_bits) | int((part << np.arange(self.low_bits, dtype=np.uint64)).sum())
 
-    def select_all(self) -> np.ndarray:
-        """Every value in order, by one pass over the structure."""
-        place = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (place - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+    def select_run(self, first: int, last: int) -> np.ndarray:
+        """The values at ranks ``first`` to ``last``, from the sample before the one to the sample after the other."""
+        begin = int(self.samples[first // SAMPLE])
+        after = last // SAMPLE + 1
+        end = int(self.samples[after]) + 1 if after < len(self.samples) else len(self.high) * 8
+        ones = np.unpackbits(self.high[begin >> 3 : (end + 7) >> 3], bitorder="little")
+        ones[: begin & 7] = 0
+        ranks = np.arange(first, last + 1)
+        place = np.flatnonzero(ones)[first % SAMPLE :][: len(ranks)] + (begin & ~7)
+        at = first * self.low_bits
+        bits = np.unpackbits(self.low[at >> 3 : ((last + 1) * self.low_bits + 7) >> 3], bitorder="little")
+        bits = bits[at & 7 :][: len(ranks) * self.low_bits].reshape(len(ranks), self.low_bits)
         low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return high | low
+        return (place - ranks).astype(np.uint64) << np.uint64(self.low_bits) | low
 
 
 def dump_shard(ends: np.ndarray, ids: np.ndarray) -> list[bytes]:
@@ -138,8 +145,8 @@ def write_token_files(
         ids, names, sizes, most = [], [], [], 0
         for batch in batches:
             names.append(batch.column(0))
-            for start in range(0, batch.num_rows, 256):
-                for raw in enc.encode(batch.column(1).slice(start, 256).to_pylist()):
+            for start in range(0, batch.num_rows, 2048):
+                for raw in enc.encode(batch.column(1).slice(start, 2048).to_pylist()):
                     a = np.frombuffer(raw + end, dtype="<u4")
                     sizes.append(len(a))
                     most = max(most, int(a.max()))
@@ -169,49 +176,44 @@ def write_token_files(
             at += k
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    index, _ = spill(rows.mapInArrow(write, f"shard long, place long, doc_id {kind}, n_docs long, n_ids long"), "token-index")
+    index, _ = spill(rows.mapInArrow(lean(write, keeps=True), f"shard long, place long, doc_id {kind}, n_docs long, n_ids long"), "token-index")
     return index
 
 
 def read_token_files(index: DataFrame, out_dir: str) -> DataFrame:
     """Read shards back: doc_id, start (in the whole corpus), n_tokens and the ids of each document.
 
-    ``ids`` holds unsigned 32-bit little-endian integers.  Only one row a shard goes to the driver.
+    ``ids`` holds unsigned 32-bit little-endian integers.  Boundaries come from select, for a run
+    of documents at a time; a shard's base is a running sum over one row a shard, joined back.
     """
-    spark = index.sparkSession
-    shards = index.filter("place = 0").select("shard", "n_ids").orderBy("shard").collect()
-    bases, base = {}, 0
-    for row in shards:
-        bases[row.shard] = base
-        base += row.n_ids
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = index.filter("place = 0").select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = _file_system(out_dir)
-        opened, shard, bounds = None, None, None
+        opened, shard = None, None
         for batch in batches:
-            which, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for begin in range(0, batch.num_rows, 512):
-                starts, sizes, ids = [], [], []
-                for k, i in zip(which[begin : begin + 512].tolist(), places[begin : begin + 512].tolist(), strict=True):
-                    if k != opened:
-                        with fs.open_input_file(f"{folder}/shard-{k:08d}.hftok") as f:
-                            shard = Shard(f.read_buffer())
-                        bounds = np.concatenate([[0], shard.bounds.select_all().astype(np.int64)])
-                        opened = k
-                    a, b = int(bounds[i]), int(bounds[i + 1])
-                    starts.append(bases[k] + a)
-                    sizes.append(b - a)
-                    ids.append(shard.ids[a:b].astype("<u4").tobytes())
+            which, places, bases_ = (batch.column(i).to_numpy() for i in range(3))
+            runs = np.flatnonzero(np.concatenate([[True], (which[1:] != which[:-1]) | (places[1:] != places[:-1] + 1)]))
+            cuts = np.union1d(runs, np.arange(0, len(which), 512))
+            for begin, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(which)], strict=True):
+                if which[begin] != opened:
+                    opened = int(which[begin])
+                    with fs.open_input_file(f"{folder}/shard-{opened:08d}.hftok") as f:
+                        shard = Shard(f.read_buffer())
+                first = int(places[begin])
+                ends = shard.bounds.select_run(max(first - 1, 0), first + end - begin - 1).astype(np.int64)
+                edges = (ends if first else np.concatenate([[0], ends])).tolist()
+                ids = [shard.ids[a:b].astype("<u4").tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                starts, sizes = np.array(edges[:-1]) + bases_[begin], np.diff(edges)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(2).slice(begin, 512), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.large_binary() if sum(map(len, ids)) >> 31 else pa.binary())],
+                    [batch.column(3).slice(begin, end - begin), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.large_binary() if sum(map(len, ids)) >> 31 else pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
     kind = index.schema["doc_id"].dataType.simpleString()
-    rows = index.select("shard", "place", "doc_id").sortWithinPartitions("shard", "place")
-    if not shards:
-        return spark.createDataFrame([], f"doc_id {kind}, start long, n_tokens long, ids binary")
-    return rows.mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids binary")
+    rows = index.join(bases, "shard").select("shard", "place", "base", "doc_id").sortWithinPartitions("shard", "place")
+    return rows.mapInArrow(lean(read), f"doc_id {kind}, start long, n_tokens long, ids binary")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -224,4 +226,3 @@ def op5(spark, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-__all__ = ["EliasFano", "Shard", "crc", "dump_shard", "op5", "read_token_files", "write_token_files"]

@@ -89,7 +89,10 @@ def test_token_files_round_trip(docs, empty, tmp_path):
 def test_elias_fano_select():
     values = np.cumsum(np.random.default_rng(1).integers(1, 3000, 2000))
     ef = token_files.EliasFano.build(values)
-    assert ef.select_all().tolist() == values.tolist()
+    assert ef.select_run(0, 1999).tolist() == values.tolist()
+    for first in (0, 1, 255, 256, 1000, 1999):
+        for last in (first, min(first + 1, 1999), min(first + 256, 1999), 1999):
+            assert ef.select_run(first, last).tolist() == values[first : last + 1].tolist()
     assert [ef.select(i) for i in (0, 1, 255, 256, 257, 1999)] == values[[0, 1, 255, 256, 257, 1999]].tolist()
 
 
