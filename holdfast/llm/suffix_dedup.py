@@ -22,7 +22,6 @@ Further columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ROW, as_table, documents, keyed, remove, spill
+from .shared import as_table, documents, keyed, lean, remove, ROW, spill
 
 LENGTH = 400
 #: Starts among whose places the anchor is the least; a power of two.
@@ -89,7 +88,7 @@ def anchors(buf: np.ndarray, ok: np.ndarray, length: int, span: int) -> tuple[np
     return x, starts[first], starts[last], value.view(np.int64)
 
 
-def _slabs(texts: list[bytes], length: int, size: int = 4 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _slabs(texts: list[bytes], length: int, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Texts laid end to end in bounded buffers: bytes, allowed starts, owner and place of each byte's text."""
     held, parts = 0, []
     for i, t in enumerate(texts):
@@ -130,7 +129,7 @@ def find_anchors(rows: DataFrame, length: int, span: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose[part[cut], 0])), *lists], names=[ROW, "x", "s", "e", "core"])
 
     kind = rows.schema[ROW].dataType.simpleString()
-    found = rows.select(ROW, "text").mapInArrow(run, f"{ROW} {kind}, x array<long>, s array<long>, e array<long>, core array<long>")
+    found = rows.select(ROW, "text").mapInArrow(lean(run), f"{ROW} {kind}, x array<long>, s array<long>, e array<long>, core array<long>")
     return found.select(ROW, F.explode(F.arrays_zip("x", "s", "e", "core")).alias("a")).select(ROW, "a.*")
 
 
@@ -358,7 +357,7 @@ def make_runs(rows: DataFrame, length: int, run_bytes: int) -> DataFrame:
         if strips:
             yield from give()
 
-    return rows.select(ROW, "text", "found").mapInArrow(run, f"run long, head binary, tail binary, block binary, places array<struct<key:{kind},entry:long,x:long>>")
+    return rows.select(ROW, "text", "found").mapInArrow(lean(run), f"run long, head binary, tail binary, block binary, places array<struct<key:{kind},entry:long,x:long>>")
 
 
 def cut_blocks(blocks: DataFrame, splitters: list[bytes]) -> DataFrame:
@@ -386,7 +385,7 @@ def cut_blocks(blocks: DataFrame, splitters: list[bytes]) -> DataFrame:
                     out[2].append(piece)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["range", "run", "block"])
 
-    return blocks.select("run", "head", "tail", "block").mapInArrow(run, "range long, run long, block binary").withColumn("first", F.substring("block", 9, 8))
+    return blocks.select("run", "head", "tail", "block").mapInArrow(lean(run), "range long, run long, block binary").withColumn("first", F.substring("block", 9, 8))
 
 
 def merge_ranges(blocks: DataFrame, core: int, length: int) -> DataFrame:
@@ -420,7 +419,7 @@ def merge_ranges(blocks: DataFrame, core: int, length: int) -> DataFrame:
         if runs:
             yield from give()
 
-    return blocks.repartition("range").sortWithinPartitions("range", "run").select("range", "run", "block").mapInArrow(run, "run long, entry long, low long, high long")
+    return blocks.repartition("range").sortWithinPartitions("range", "run").select("range", "run", "block").mapInArrow(lean(run), "run long, entry long, low long, high long")
 
 
 def repeated_spans(table: DataFrame, *, length: int = LENGTH, span: int = SPAN, run_bytes: int = RUN_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -484,7 +483,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, removed array<struct<begin:long,end:long>>, kept binary")
+    return joined.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, removed array<struct<begin:long,end:long>>, kept binary")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -492,5 +491,3 @@ def op9(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
-
-__all__ = ["LoserTree", "anchors", "hashlib", "op9", "remove_repeats"]
