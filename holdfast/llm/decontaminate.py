@@ -22,7 +22,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, lean
 
 PASSAGE = 96
 STEP = 48
@@ -301,7 +300,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", te
         if index is None:
             continue
         shared = spark.sparkContext.broadcast(index)
-        found = rows.mapInArrow(_finder(shared, kept), schema)
+        found = rows.mapInArrow(lean(_finder(shared, kept)), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -310,13 +309,13 @@ def _finder(shared, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
-            texts = [plain_words(t) for t in batch.column(len(kept)).to_pylist()]
-            found, begin, held = [], 0, 0
-            for i, t in enumerate(texts):
-                held += len(t)
-                if held >= 200_000 or i == len(texts) - 1:
-                    found += [(begin + m[0], *m[1:]) for m in index.search(texts[begin : i + 1])]
-                    begin, held = i + 1, 0
+            found, begin, texts, held = [], 0, [], 0
+            for i, value in enumerate(batch.column(len(kept))):
+                texts.append(plain_words(value.as_py()))
+                held += len(texts[-1])
+                if held >= 200_000 or i == batch.num_rows - 1:
+                    found += [(begin + m[0], *m[1:]) for m in index.search(texts)]
+                    begin, texts, held = i + 1, [], 0
             if found:
                 at = pa.array([m[0] for m in found])
                 yield pa.RecordBatch.from_arrays(
@@ -331,5 +330,3 @@ def op3(spark, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-
-__all__ = ["Index", "common_subsequence", "matches", "op3", "zlib"]

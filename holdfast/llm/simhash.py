@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, remove, spill, words_of
+from .shared import documents, lean, remove, spill, words_of
 
 FAN = 16
 MOST = 8192
@@ -292,7 +292,7 @@ def link(distinct: DataFrame, most: int, *, block: int = MOST, cross: bool = Fal
         if held is not None and len(held[0]) and (out := give(held, np.array([0, len(held[0])]))) is not None:
             yield out
 
-    found = rows.sortWithinPartitions(*keys).select(*read).mapInArrow(run, "u long, v long")
+    found = rows.sortWithinPartitions(*keys).select(*read).mapInArrow(lean(run), "u long, v long")
     found, _ = spill(found, "simhash-links")
     return found
 
@@ -327,7 +327,7 @@ def alike(links: DataFrame, prints: DataFrame, rows: DataFrame, size: int, simil
             sets = [shingle_set(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    sets, path = spill(rows.join(firsts, "row_key").select("node", "text").mapInArrow(run, "node long, set array<long>"), "simhash-sets")
+    sets, path = spill(rows.join(firsts, "row_key").select("node", "text").mapInArrow(lean(run), "node long, set array<long>"), "simhash-sets")
     both = links.join(sets.select(F.col("node").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("set").alias("y")), "v")
     shared = F.size(F.array_intersect("x", "y"))
     kept, _ = spill(both.filter(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("u", "v"), "simhash-alike")
@@ -346,7 +346,7 @@ def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], names=["shingle"])
 
     sample = rows.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    found = sample.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    found = sample.mapInArrow(lean(run), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
     table = found.orderBy(F.desc("n"), "shingle").limit(LAST).select("shingle").toArrow()
     return np.sort(table.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
@@ -398,7 +398,7 @@ def set_links(placed: DataFrame, similarity: float) -> DataFrame:
                     yield from pairs(node[i:j], group[i:j], n[i:j])
             held = [x[cuts[full] :] for x in held]
 
-    met = keys.select("node", "group", "n", "shingle").mapInArrow(run, "u long, v long, n_u int, n_v int").groupBy("u", "v", "n_u", "n_v").agg(F.count(F.lit(1)).alias("c"))
+    met = keys.select("node", "group", "n", "shingle").mapInArrow(lean(run), "u long, v long, n_u int, n_v int").groupBy("u", "v", "n_u", "n_v").agg(F.count(F.lit(1)).alias("c"))
     rest = F.greatest(*(F.ceil(F.col(x) * similarity - 1e-6) - 1 for x in ("n_u", "n_v")))
     least = (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6
     found, _ = spill(met.filter(F.col("c") + rest >= least).select("u", "v"), "simhash-sets-met")
@@ -461,7 +461,7 @@ def near_groups(
             more_ = [pa.array([n for n, _ in leads], pa.int32()), pa.array([x for _, x in leads], pa.list_(pa.int64()))] if every else []
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), *more_], names=[*kept, "fp", "node", *(["n", "lead"] if every else [])])
 
-    prints, _ = spill(rows.mapInArrow(run, f"{schema}, fp long, node long" + (", n int, lead array<long>" if every else "")), "simhash-prints")
+    prints, _ = spill(rows.mapInArrow(lean(run), f"{schema}, fp long, node long" + (", n int, lead array<long>" if every else "")), "simhash-prints")
     distinct, _ = spill(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     if similarity is None:
         links = link(distinct.select("node", "fp"), max_diff)

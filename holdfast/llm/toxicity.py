@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .shared import documents, fold_of, resident, words_of
+from .shared import documents, fold_of, lean, resident, words_of
 
 WINDOW = 8
 #: Letters of a word that is read at once, and of the pieces of a longer one.
@@ -78,7 +78,7 @@ def windows(n: int, size: int = WINDOW) -> np.ndarray:
 class Model:
     """Per-word logits of the trained vectors, kept for the words met, up to a bound."""
 
-    def __init__(self, logit: np.ndarray, bias: float, most: int = 600_000) -> None:
+    def __init__(self, logit: np.ndarray, bias: float, most: int = 300_000) -> None:
         self.logit, self.bias, self.most = logit, bias, most
         self.known: dict[bytes, float] = {}
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], *, id_col: str = "do
             scores = pa.array([model_.score(t) for t in batch.column(1).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(lean(run, keeps=True), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def _model(value: tuple[np.ndarray, float]) -> Model:
@@ -232,4 +232,4 @@ def clean(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(run, schema).filter(F.col(name) < limit).drop(name)
+    return docs.mapInArrow(lean(run, keeps=True), schema).filter(F.col(name) < limit).drop(name)
