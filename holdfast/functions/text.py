@@ -15,26 +15,37 @@ def jurisdiction(c: Column) -> Column:
     return F.nullif(F.regexp_extract(F.upper(F.trim(c)), r"^([A-Z]{2})(\s*-.*)?$", 1), F.lit(""))
 
 
-def share_range(c: Column) -> tuple[Column, Column]:
-    """Low and high end of a share as text: ``50``, ``50%``, ``12,5``, ``25-50``, ``<10``, ``>=50``; null if unreadable."""
-    text = F.regexp_replace(F.replace(F.trim(c), F.lit(","), F.lit(".")), r"[%\s~]", "")
-    number = r"(\d{1,3}(?:\.\d+)?)"
-    one, two = F.regexp_extract(text, f"^{number}$", 1), F.regexp_extract(text, f"^{number}-{number}$", 1)
-    two_high = F.regexp_extract(text, f"^{number}-{number}$", 2)
-    under, over = F.regexp_extract(text, f"^(?:<|<=|≤){number}$", 1), F.regexp_extract(text, f"^(?:>|>=|≥){number}$", 1)
+#: A share in figures: a sign and a number, or two numbers with a dash.
+_SHARE = r"^([<>≤≥~]?)[\t\n\f\r ]*(\d+(?:\.\d+)?)(?:[\t\n\f\r ]*[-–][\t\n\f\r ]*(\d+(?:\.\d+)?))?$"
 
-    def value(s: Column) -> Column:
-        return F.when(s != "", s.try_cast("decimal(9,4)"))
 
-    low = F.coalesce(value(one), value(two), F.when(under != "", F.lit(0).cast("decimal(9,4)")), value(over))
-    high = F.coalesce(value(one), value(two_high), value(under), F.when(over != "", F.lit(100).cast("decimal(9,4)")))
-    good = (low >= 0) & (low <= high) & (high <= 100)
-    return F.when(good, low), F.when(good, high)
+def share_range(c: Column) -> Column:
+    """A share as text, read as a struct of pct, low, high and bounds; all null if unreadable.
+
+    ``50``, ``50%``, ``12,5`` and ``~50`` are points; ``25-50`` is closed on both ends, ``<10`` is
+    open on both, ``≤10`` and ``>50`` are open below, ``≥50`` is closed.  ``pct`` is there for points only.
+    Shares outside (0, 100], reversed ranges and open ranges of no width are unreadable.
+    """
+    text = F.trim(F.replace(F.replace(c, F.lit("%"), F.lit("")), F.lit(","), F.lit(".")))
+    sign, one, two = (F.regexp_extract(text, _SHARE, i) for i in (1, 2, 3))
+    first, second = (F.when(x != "", x.try_cast("decimal(9,4)")) for x in (one, two))
+    pair = two != ""
+    low = F.when(pair, first).when(sign.isin("<", "≤"), F.lit(0).cast("decimal(9,4)")).otherwise(first)
+    high = F.when(pair, second).when(sign.isin(">", "≥"), F.lit(100).cast("decimal(9,4)")).otherwise(first)
+    bounds = F.when(pair | ~sign.isin("<", "≤", ">"), "[]").when(sign == "<", "()").otherwise("(]")
+    good = ~(pair & (sign != "")) & (high > 0) & (high <= 100) & (low <= high) & ((low < high) | (bounds == "[]"))
+    kept = [(low == high, high, "pct"), (F.lit(True), low, "low"), (F.lit(True), high, "high")]
+    return F.struct(*(F.when(good & when, value.cast("decimal(7,4)")).alias(name) for when, value, name in kept), F.when(good, bounds).alias("bounds"))
+
+
+#: A number with a percent sign or word, not within another number.
+_PERCENT = r"(?i)(?<![\d.,])(\d{1,3}(?:\.\d{1,6})?)\s*(?:%|per\s?cent\b)"
 
 
 def percentages(c: Column) -> Column:
-    """All percentages a text states, as written without the sign."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\d+(?:[.,]\d+)?)\s?%"), 1)
+    """The percentages above 0 and up to 100 that a text states in figures, in order, to four places."""
+    values = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_PERCENT), 1), lambda t: t.cast("decimal(9,6)"))
+    return F.transform(F.filter(values, lambda v: (v > 0) & (v <= 100)), lambda v: F.bround(v, 4).cast("decimal(7,4)").cast("string"))
 
 
 def blocks(c: Column) -> Column:

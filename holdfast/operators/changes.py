@@ -23,7 +23,8 @@ def rescreen(changes: DataFrame, reach: DataFrame) -> DataFrame:
 
 
 def row_digest(*columns: Column) -> Column:
-    return F.sha2(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 256)
+    """sha256 of the row's values as a JSON list of texts, so that null, empty and marks stay apart."""
+    return F.sha2(F.to_json(F.array(*(c.cast("string") for c in columns))), 256)
 
 
 def bucket_digests(rows: DataFrame, key: Column, digest: Column, size: Column) -> DataFrame:
@@ -32,10 +33,12 @@ def bucket_digests(rows: DataFrame, key: Column, digest: Column, size: Column) -
     return listed.select("bucket", F.size("rows").cast("long").alias("n"), F.sha2(F.concat_ws("\n", F.transform("rows", lambda r: r.d)), 256).alias("digest"))
 
 
-def chain_faults(events: DataFrame, group: str, order: str) -> DataFrame:
-    """Rows whose ``prev_hash`` is not the hash of the row before them in their log."""
+def chain_faults(events: DataFrame, group: str, order: str, content: Column) -> DataFrame:
+    """Rows whose ``prev_hash`` is not (or null instead of) the hash of the row before, or whose ``hash`` is not their content's."""
     each = Window.partitionBy(group).orderBy(order)
-    return events.withColumn("expected", F.coalesce(F.lag("hash").over(each), F.sha2(F.lit("genesis"), 256))).filter(F.col("expected") != F.col("prev_hash")).drop("expected")
+    linked = F.col("prev_hash").eqNullSafe(F.coalesce(F.lag("hash").over(each), F.sha2(F.lit("genesis"), 256)))
+    own = F.col("hash").eqNullSafe(F.sha2(content, 256))
+    return events.withColumn("_sound", linked & own).filter(~F.col("_sound")).drop("_sound")
 
 
 def histogram(values: DataFrame, value: Column, width: float) -> DataFrame:

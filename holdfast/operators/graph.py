@@ -39,16 +39,25 @@ def common_controllers(edges: DataFrame, group: DataFrame) -> DataFrame:
 
 
 def siblings(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
-    """node, upper, sibling and how many siblings that upper gives; the first ``most`` by id (a report's limit)."""
-    up = edges.join(targets.select(F.col("node").alias("lower")), "lower", "left_semi").select(F.col("lower").alias("node"), "upper")
-    other = edges.select("upper", F.col("lower").alias("sibling"))
+    """node, upper, sibling and how many siblings that upper gives; the first ``most`` by id (a report's limit).
+
+    ``edges`` has a pair once.  Each upper's first ``most`` + 1 members are found before the join,
+    in parts by hash first, so that an upper with very many members is no single task.
+    """
+    part = Window.partitionBy("upper", F.pmod(F.xxhash64("sibling"), F.lit(64))).orderBy("sibling")
+    whole = Window.partitionBy("upper").orderBy("sibling")
+    first = edges.select("upper", F.col("lower").alias("sibling"))
+    for each in (part, whole):
+        first = first.withColumn("place", F.row_number().over(each)).filter(F.col("place") <= most + 1).select("upper", "sibling")
     counts = edges.groupBy("upper").agg((F.count(F.lit(1)) - 1).alias("peers"))
-    pairs = up.join(other, "upper").filter("node <> sibling").join(counts, "upper")
-    each = Window.partitionBy("node", "upper").orderBy("sibling")
-    return pairs.withColumn("place", F.row_number().over(each)).filter(F.col("place") <= most).select("node", "upper", "sibling", "peers")
+    up = edges.join(targets.select(F.col("node").alias("lower")), "lower", "left_semi").select(F.col("lower").alias("node"), "upper")
+    listed = first.join(counts, "upper").groupBy("upper", "peers").agg(F.sort_array(F.collect_list("sibling")).alias("members"))
+    others = F.slice(F.filter("members", lambda m: m != F.col("node")), 1, most)
+    return up.join(listed, "upper").select("node", "upper", F.explode(others).alias("sibling"), "peers")
 
 
 def edge_ids(edges: DataFrame) -> DataFrame:
     """Edges with a stable id: 16 hex digits of the digest of the canonical JSON of their key."""
-    text = F.concat(F.lit('["'), "upper", F.lit('","'), "lower", F.lit('","OWNS",false]'))
+    key = F.to_json(F.array("upper", "lower", F.lit("OWNS")))
+    text = F.concat(F.left(key, F.length(key) - 1), F.lit(",false]"))
     return edges.withColumn("edge_id", F.left(F.sha2(text, 256), F.lit(16)))

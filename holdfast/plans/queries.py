@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -146,9 +147,13 @@ def common_controllers(spark, sf_dir):
     return graph.common_controllers(world.edges(spark, sf_dir), _customers(spark, sf_dir))
 
 
-@query(f"{_W}, c AS (SELECT upper, count(*) - 1 AS peers FROM edges GROUP BY upper), p AS (SELECT a.lower AS node, a.upper, b.lower AS sibling, peers, row_number() OVER (PARTITION BY a.lower, a.upper ORDER BY b.lower) AS place FROM edges a JOIN edges b ON a.upper = b.upper AND a.lower <> b.lower JOIN c ON c.upper = a.upper WHERE a.lower LIKE 'S%') SELECT node, upper, sibling, peers FROM p WHERE place <= 50")
+@query(
+    f"{_W}, k AS (SELECT upper, lower, row_number() OVER (PARTITION BY upper ORDER BY lower) AS place, count(*) OVER (PARTITION BY upper) - 1 AS peers FROM edges), "
+    "p AS (SELECT a.lower AS node, a.upper, k.lower AS sibling, peers, row_number() OVER (PARTITION BY a.lower, a.upper ORDER BY k.lower) AS place "
+    "FROM edges a JOIN k ON k.upper = a.upper AND k.place <= 51 AND k.lower <> a.lower) SELECT node, upper, sibling, peers FROM p WHERE place <= 50"
+)
 def siblings(spark, sf_dir):
-    return graph.siblings(world.edges(spark, sf_dir), world.nodes(spark, sf_dir).filter("node LIKE 'S%'"), 50)
+    return graph.siblings(world.edges(spark, sf_dir), world.nodes(spark, sf_dir), 50)
 
 
 @query(f"""{_W} SELECT upper, lower, CAST(low4 AS BIGINT) AS low4, CAST(high4 AS BIGINT) AS high4, left(sha256('["' || upper || '","' || lower || '","OWNS",false]'), 16) AS edge_id FROM edges""")
@@ -215,10 +220,39 @@ def jurisdictions(spark, sf_dir):
     return world.table(spark, sf_dir, "orders").select(code.alias("code")).groupBy("code", T.jurisdiction(F.col("code")).alias("jurisdiction")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '(\\d+(?:[.,]\\d+)?)\\s?%', 1)) AS n, array_to_string(regexp_extract_all(text, '(\\d+(?:[.,]\\d+)?)\\s?%', 1), ';') AS found FROM documents")
+@query(
+    "WITH v AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '(?i)(?:^|[^\\d.,])(\\d{1,3}(?:\\.\\d{1,6})?)\\s*(?:%|per\\s?cent\\b)', 1), lambda t: CAST(t AS DECIMAL(9,6))) AS v FROM documents), "
+    "k AS (SELECT doc_id, list_transform(list_filter(v, lambda x: x > 0 AND x <= 100), lambda x: CAST(CAST(x AS DECIMAL(7,4)) AS VARCHAR)) AS k FROM v) "
+    "SELECT doc_id, len(k) AS n, array_to_string(k, ';') AS found FROM k"
+)
 def text_percentages(spark, sf_dir):
     found = T.percentages(F.col("text"))
-    return world.table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n"), F.concat_ws(";", found).alias("found"))
+    return world.table(spark, sf_dir, "documents").select("doc_id", found.alias("k")).select("doc_id", F.size("k").cast("long").alias("n"), F.concat_ws(";", "k").alias("found"))
+
+
+#: Shares as registries write them, around a number of each order.
+_SHARES = (
+    "CASE o_orderkey % 16 WHEN 0 THEN '{n}' WHEN 1 THEN '{n},5%' WHEN 2 THEN '25-{n}' WHEN 3 THEN '25 – {n} %' WHEN 4 THEN '<{n}' WHEN 5 THEN '≤ {n}' WHEN 6 THEN '>{n}' WHEN 7 THEN '≥{n}' "
+    "WHEN 8 THEN '~{n}' WHEN 9 THEN 'majority' WHEN 10 THEN '5 {n}' WHEN 11 THEN '>={n}' WHEN 12 THEN '<5-{n}' WHEN 13 THEN '{n}.12345' WHEN 14 THEN '' END"
+)
+
+
+def _share_texts() -> str:
+    return re.sub(r"'([^']*)\{n\}([^']*)'", r"'\1' || CAST(o_custkey % 104 AS {text}) || '\2'", _SHARES)
+
+
+@query(
+    f"WITH t AS (SELECT o_orderkey, {_share_texts().replace('{text}', 'VARCHAR')} AS t FROM orders), "
+    "p AS (SELECT o_orderkey, t, regexp_extract(trim(replace(replace(t, '%', ''), ',', '.')), '^([<>≤≥~]?)\\s*(\\d+(?:\\.\\d+)?)(?:\\s*[-–]\\s*(\\d+(?:\\.\\d+)?))?$', ['sign', 'a', 'b']) AS x FROM t), "
+    "n AS (SELECT o_orderkey, t, x.sign AS sign, x.b <> '' AS pair, TRY_CAST(x.a AS DECIMAL(9,4)) AS a, TRY_CAST(x.b AS DECIMAL(9,4)) AS b FROM p WHERE x.a <> '' AND (x.sign = '' OR x.b = '')), "
+    "r AS (SELECT o_orderkey, CASE WHEN sign IN ('<', '≤') THEN 0 ELSE a END AS low, CASE WHEN pair THEN b WHEN sign IN ('>', '≥') THEN 100 ELSE a END AS high, CASE sign WHEN '<' THEN '()' WHEN '≤' THEN '(]' WHEN '>' THEN '(]' ELSE '[]' END AS bounds FROM n), "
+    "g AS (SELECT * FROM r WHERE high > 0 AND high <= 100 AND (low < high OR low = high AND bounds = '[]')) "
+    "SELECT t.o_orderkey, t.t AS written, CAST(CASE WHEN low = high THEN high END AS DOUBLE) AS pct, CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, bounds FROM t LEFT JOIN g ON g.o_orderkey = t.o_orderkey"
+)
+def share_texts(spark, sf_dir):
+    rows = world.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_share_texts().replace("{text}", "STRING")).alias("written"))
+    rows = rows.withColumn("s", T.share_range(F.col("written")))
+    return rows.select("o_orderkey", "written", *(F.col(f"s.{n}").cast("double").alias(n) for n in ("pct", "low", "high")), "s.bounds")
 
 
 @query(f"WITH {_NODES} SELECT CASE WHEN label = 'Person' THEN 'p:' || left(sha256(node), 12) ELSE node END AS node, label, CASE WHEN label = 'Person' THEN '***' ELSE name END AS name, CASE WHEN label <> 'Person' THEN jurisdiction END AS jurisdiction FROM n")
@@ -226,7 +260,7 @@ def masked_nodes(spark, sf_dir):
     return changes.masked(world.nodes(spark, sf_dir))
 
 
-@query("SELECT o_orderkey // 1000 AS bucket, count(*) AS n, sha256(string_agg(sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus), chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
+@query("SELECT o_orderkey // 1000 AS bucket, count(*) AS n, sha256(string_agg(sha256(CAST(to_json([CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus]) AS VARCHAR)), chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1")
 def digest_buckets(spark, sf_dir):
     o = world.table(spark, sf_dir, "orders")
     return changes.bucket_digests(o, F.col("o_orderkey"), changes.row_digest(F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")), F.expr("o_orderkey div 1000"))
@@ -237,7 +271,7 @@ def chain_faults(spark, sf_dir):
     each = Window.partitionBy("user_id").orderBy("event_id")
     e = world.table(spark, sf_dir, "events").select("event_id", "user_id", F.sha2(F.col("event_id").cast("string"), 256).alias("hash"))
     e = e.withColumn("prev_hash", F.when(F.col("event_id") % 97 == 0, "x").otherwise(F.coalesce(F.lag("hash").over(each), F.sha2(F.lit("genesis"), 256))))
-    return changes.chain_faults(e, "user_id", "event_id").select("event_id", "user_id")
+    return changes.chain_faults(e, "user_id", "event_id", F.col("event_id").cast("string")).select("event_id", "user_id")
 
 
 @query("SELECT CAST(floor(l_discount / 0.05 + 1e-9) AS BIGINT) AS bin, count(*) AS n FROM lineitem GROUP BY 1")

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from holdfast.functions import text
-from holdfast.operators import graph, iterate, rules
+from holdfast.operators import changes, graph, iterate, rules
 from holdfast.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -70,12 +70,57 @@ def test_walk_survives_cycles(spark):
 def test_share_ranges(spark):
     from pyspark.sql import functions as F
 
-    cases = {"50": (50, 50), "12,5": (12.5, 12.5), "25-50": (25, 50), "<10": (0, 10), "≥50": (50, 100), "50%": (50, 50), "60-40": (None, None), "abc": (None, None), "101": (None, None)}
-    low, high = text.share_range(F.col("t"))
-    found = {r.t: (r.low, r.high) for r in spark.createDataFrame([(k,) for k in cases], "t string").select("t", low.cast("double").alias("low"), high.cast("double").alias("high")).collect()}
+    none = (None, None, None, None)
+    cases = {
+        "50": (50, 50, 50, "[]"), "12,5": (12.5, 12.5, 12.5, "[]"), "50%": (50, 50, 50, "[]"), "~ 7": (7, 7, 7, "[]"), "25-50": (None, 25, 50, "[]"), "25–50": (None, 25, 50, "[]"),
+        "<10": (None, 0, 10, "()"), "≤10": (None, 0, 10, "(]"), ">50": (None, 50, 100, "(]"), "≥50": (None, 50, 100, "[]"), "≥100": (100, 100, 100, "[]"),
+        ">100": none, "0": none, "60-40": none, "abc": none, "101": none, "5 0": none, ">=50": none, "<5-10": none, "": none, "123456789": none,
+    }
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "t string").select("t", text.share_range(F.col("t")).alias("s")).collect()
+    found = {r.t: tuple(None if v is None else v if isinstance(v, str) else float(v) for v in r.s) for r in rows}
+    assert found == {**cases, None: none}
+
+
+def test_percentages_in_texts(spark):
+    from pyspark.sql import functions as F
+
+    cases = {"holds 51% and 5.5 per cent": ["51.0000", "5.5000"], "12 Percent, 0%, 101%, 1234%": ["12.0000"], "1,5% 1.2.3%": [], "5%6%": ["5.0000", "6.0000"], "7 percentage": [], None: []}
+    found = {r.t: r.p for r in spark.createDataFrame([(k,) for k in cases], "t string").select("t", text.percentages(F.col("t")).alias("p")).collect()}
     assert found == cases
 
 
+def test_chain_faults_sees_null_links_and_changed_content(spark):
+    from hashlib import sha256
+
+    from pyspark.sql import functions as F
+
+    def h(s):
+        return sha256(s.encode()).hexdigest()
+
+    log = [(1, 1, "a", h("a"), h("genesis")), (1, 2, "b", h("b"), None), (1, 3, "x", h("c"), h("b")), (1, 4, "d", h("d"), h("c")), (2, 1, "a", None, h("genesis")), (2, 2, "b", h("b"), h("z"))]
+    events = spark.createDataFrame(log, "g int, k int, body string, hash string, prev_hash string")
+    assert {(r.g, r.k) for r in changes.chain_faults(events, "g", "k", F.col("body")).collect()} == {(1, 2), (1, 3), (2, 1), (2, 2)}
+
+
+def test_row_digest_and_edge_ids_keep_values_apart(spark):
+    from hashlib import sha256
+
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("", None), (None, ""), ('"', "\\")], "upper string, lower string")
+    assert rows.select(changes.row_digest(F.col("upper"), F.col("lower")).alias("d")).distinct().count() == 5
+    found = {(r.upper, r.lower): r.edge_id for r in graph.edge_ids(rows).collect()}
+    assert found['"', "\\"] == sha256(b'["\\"","\\\\","OWNS",false]').hexdigest()[:16]
+
+
+def test_siblings_of_a_hub(spark):
+    e = world(spark, [("h", f"n{i:03}", 1, 1) for i in range(200)] + [("p", "n000", 1, 1), ("p", "n199", 1, 1), ("q", "n000", 1, 1)])
+    found = [(r.node, r.upper, r.sibling, r.peers) for r in graph.siblings(e, e.select(e.lower.alias("node")), 3).collect()]
+    names = [f"n{i:03}" for i in range(200)]
+    expected = [(n, "h", s, 199) for n in names for s in [m for m in names if m != n][:3]] + [("n000", "p", "n199", 1), ("n199", "p", "n000", 1)]
+    assert sorted(found) == sorted(expected)
+
+
 def test_names():
     assert text.sorted_words_ratio("b a", "a b") == 1.0
     assert round(text.sorted_words_ratio("king kong", "hong kong"), 2) == 0.78
