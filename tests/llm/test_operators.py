@@ -96,6 +96,16 @@ def test_elias_fano_select():
     assert [ef.select(i) for i in (0, 1, 255, 256, 257, 1999)] == values[[0, 1, 255, 256, 257, 1999]].tolist()
 
 
+def test_encoder_gives_the_librarys_ids():
+    from holdfast.llm.shared import UnitEncoder
+
+    odd = [None, "", " a", "a\n\nb", "it's don't, x' y's", "<|endoftext|> a", "a\nb. c!? d's", "Straße ñandú\nÉté… ªº", "日本 語", "x́y z", "a, b. c <b> !? !?\n!? a'b", "x\n- y", "--", "\n", "a\tb", "9 a9 a.9", "ǅ ȸ ɐ Ω"]
+    texts = [*odd, *(t for _, t in TEXTS)]
+    enc = UnitEncoder(TOKENIZER, most=20, chunk=50)
+    for _ in range(2):
+        assert enc.direct and [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [encoded(t, 0)[:-1] for t in texts]
+
+
 def test_packing_covers_every_id_once(docs, empty):
     pieces = packing.pack(docs, TOKENIZER, capacity=64, grain=8).collect()
     by_doc, by_sequence = {}, {}
