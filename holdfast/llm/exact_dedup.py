@@ -5,11 +5,12 @@ change log in the shared folder) keeps, for every digest ever met and with no wa
 expiry: the digest, the number of rows, the row that stays (most code points, then smallest id)
 and where its text lies (file and row).  Each micro-batch sends the keys it changed to the shared
 folder; the newest state of a key counts.  A second run with the same ``state_dir`` goes on from
-the state it finds there.
+the state it finds there; its rows are those of the new folder, their groups count the old ones too.
 
 On every hit (a digest with more than one row) the whole normalised text is compared with that of
 the row that stays, read by its locator.  Digests whose texts differ are grouped again by the text
-itself, so a collision never merges two texts.
+itself, so a collision never merges two texts.  Of the rows of earlier runs such a group knows the
+one the state names; a text equal to another of them stays, so that none is lost.
 
 Everything is DataFrame and SQL functions.  Defined results: null text counts as empty; null ids
 order last among equals; a repeated row is a member like any other; an empty table gives no row.
@@ -20,11 +21,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE, documents, new_path, spill
+from .shared import SPACE, documents, new_path, place, spill
 
 _STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -64,8 +66,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
         F.col(id_col).alias("doc_id"),
         F.length(text).alias("length"),
         normalised(F.col(text_col)).alias("norm"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("row"),
+        place(docs, "file_path").alias("file"),
+        place(docs, "row_index").alias("row"),
     ).withColumn("digest", digest(F.col("norm")))
 
 
@@ -96,6 +98,20 @@ def digest_state(spark: SparkSession, path: str, schema, *, id_col: str, text_co
     return newest.select("digest", "at.n", "at.best")
 
 
+def _earlier_keepers(spark: SparkSession, hits: DataFrame, table: DataFrame, keyed: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """The rows that stay for the hits and lie in files of earlier runs, read by their locators."""
+    wanted = hits.select("digest", F.col("best.file").alias("file"), F.col("best.row").alias("row")).distinct()
+    here = table.select(place(table, "file_path").alias("file")).distinct()
+    wanted, _ = spill(wanted.join(F.broadcast(here), "file", "left_anti"), "dedup-earlier")
+    files = [unquote(r.file) for r in wanted.select("file").distinct().collect()]
+    if not files:
+        return None
+    found, _ = spill(keyed(spark.read.schema(table.schema).parquet(*files)).drop("digest").join(wanted, ["file", "row"]), "dedup-keepers")
+    if found.count() != wanted.count():
+        raise RuntimeError("rows that the state names are no longer in their files")
+    return found
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame | str, *, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
     """One row per row: doc_id, keep_id, group_size, kept, text_sha256, file and row of its text.
 
@@ -117,12 +133,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame | str, *, id_col: str = "do
     )
     # Every hit against the whole text of the row that stays.
     keepers = met.filter("n > 1 AND kept").select("digest", F.col("norm").alias("keeper_norm"))
+    earlier = _earlier_keepers(spark, met.filter("n > 1"), table, lambda t: _keyed(t, id_col, text_col, digest)) if state_dir else None
+    if earlier is not None:
+        keepers = keepers.unionByName(earlier.select("digest", F.col("norm").alias("keeper_norm")))
     clashes, _ = spill(met.filter("n > 1").join(keepers, "digest").filter("norm <> keeper_norm").select("digest").distinct(), "dedup-clashes")
     if not clashes.isEmpty():
         # Digests that collided: the text itself is the key, and the state's row is not used.
         own = Window.partitionBy("digest", "norm")
-        mixed = met.join(clashes, "digest", "left_semi")
-        mixed = mixed.withColumns({"n": F.count(F.lit(1)).over(own), "best": F.min(_rank()).over(own)}).withColumn("kept", keeps)
+        mixed = met.join(clashes, "digest", "left_semi").withColumn("new", F.lit(True))
+        if earlier is not None:
+            old = earlier.join(clashes, "digest", "left_semi").withColumn("new", F.lit(False))
+            mixed = mixed.unionByName(old, allowMissingColumns=True)
+        mixed = mixed.withColumns({"n": F.count(F.lit(1)).over(own), "best": F.min(_rank()).over(own)}).withColumn("kept", keeps).filter("new").drop("new")
         met = met.join(clashes, "digest", "left_anti").unionByName(mixed)
     return met.select(
         "doc_id",

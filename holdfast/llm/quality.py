@@ -5,8 +5,8 @@ digits, marks and repeats, and those of the lines before and after it.  Forward-
 each line's marginal; the score of a text is their mean, weighted by the lines' bytes.
 
 The fit takes the label of a text for each of its lines.  It reads at most ``MOST_TEXTS`` labelled
-texts outside the held-out fold, in an order that hashes their ids, and at most ``MOST_CHARS``
-characters of each; this bounds the fit only.  Scoring reads every text whole.
+texts outside the held-out fold, whole, in an order that hashes their ids, and at most
+``MOST_BYTES`` of them; this bounds the fit only.  Scoring reads every text whole.
 
 Defined results: a null text, an empty one and one of blank lines score the training share of good
 texts; ids and labels that are null, repeated or missing are treated as in the toxicity operator
@@ -27,7 +27,7 @@ from .shared import documents, fold_of
 from .toxicity import training_rows
 
 MOST_TEXTS = 8_000
-MOST_CHARS = 8_000
+MOST_BYTES = 20 << 20
 ROUNDS = 150
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -194,8 +194,8 @@ def text_scores(texts: list[str | None], model: dict) -> np.ndarray:
     return np.clip(np.where(weight > 0, np.bincount(owner, weights=size * good, minlength=len(texts)) / np.maximum(weight, 1), model["share"]), 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_texts: int = MOST_TEXTS, most_chars: int = MOST_CHARS, parts: int = 4, held: int = 2) -> dict:
-    rows = training_rows(docs, labels, "quality", parts, held, most_texts, most_chars)
+def train(docs: DataFrame, labels: DataFrame, *, most_texts: int = MOST_TEXTS, most_bytes: int = MOST_BYTES, parts: int = 4, held: int = 2) -> dict:
+    rows = training_rows(docs, labels, "quality", parts, held, most_texts, most_bytes)
     return fit([r.text for r in rows], [r.label for r in rows])
 
 

@@ -18,7 +18,7 @@ from operator import is_
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts name it, as a Java regular expression.
@@ -317,6 +317,24 @@ def as_table(docs: DataFrame) -> tuple[DataFrame, str]:
     return spill(docs, "table")
 
 
-def keyed(table: DataFrame) -> DataFrame:
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their names, whatever these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def free(table: DataFrame, name: str) -> str:
+    """``name``, or a longer one if the table has such a column."""
+    taken = {c.lower() for c in table.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def place(table: DataFrame, part: str) -> Column:
+    """``file_path`` or ``row_index`` of a table's rows, also beside a column called as the hidden one."""
+    return table.metadataColumn("_metadata")[part]
+
+
+def keyed(table: DataFrame, name: str = ROW) -> DataFrame:
     """A table's rows with their place (file and row) as a key that every read gives again."""
-    return table.withColumn(ROW, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    return table.withColumn(name, F.struct(place(table, "file_path").alias("file"), place(table, "row_index").alias("row")))

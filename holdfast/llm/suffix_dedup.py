@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_table, documents, keyed, lean, remove, ROW, spill
+from .shared import as_table, documents, free, keyed, lean, remove, ROW, spill
 
 LENGTH = 400
 #: Starts among whose places the anchor is the least; a power of two.
@@ -462,7 +462,7 @@ def union(spans: list[dict] | None) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, span: int = SPAN, **sizes) -> DataFrame:
     """One row a document: doc_id, n_bytes, the removed runs, and ``kept``, the bytes that stay."""
     table, _ = as_table(docs)
-    rows = keyed(table.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "_metadata"))
+    rows = keyed(table, key := free(table, ROW)).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(key).alias(ROW))
     spans = repeated_spans(rows.select(ROW, "text"), length=length, span=span, **sizes)
     joined = rows.select(ROW, "doc_id", "text").join(spans, ROW, "left").select("doc_id", "text", "spans")
 

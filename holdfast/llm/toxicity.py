@@ -9,9 +9,9 @@ each piece counts as a word.  A run of one word counts once.  A text is as toxic
 
 Embeddings and softmax are trained jointly, in numpy, by Adam.  In training, the passage of a text
 that scores highest carries the text's label (others of a toxic text are not evidence).  The
-fit reads at most ``MOST_TEXTS`` labelled texts of the training folds, in an order that hashes
-their ids, and of these at most ``MOST_CHARS`` characters each; this bounds the fit only.  Scoring
-reads every text whole.
+fit reads at most ``MOST_TEXTS`` labelled texts of the training folds, whole, in an order that
+hashes their ids, and at most ``MOST_BYTES`` of them; this bounds the fit only.  Scoring reads every
+text whole.
 
 Defined results: null and empty texts have no passage and score the softmax of the bias; a null
 id counts as the empty text in folds, so is a training row; label rows with null label or id are
@@ -40,10 +40,10 @@ LONG = 24
 PIECE = 16
 BUCKETS = 1 << 17
 WIDTH = 12
+#: The fit's sample: labelled rows at most, and bytes of their whole texts at most.
 MOST_TEXTS = 10_000
-MOST_CHARS = 8_000
-EPOCHS = 8
-#: Updates at least, so that a small labelled set is gone over more often.
+MOST_BYTES = 24 << 20
+#: Updates of 64 texts that a fit makes, whatever the size of the labelled set; whole rounds.
 UPDATES = 1250
 
 
@@ -108,7 +108,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
 
-def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int = 7, rate: float = 0.05) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: list[int], *, updates: int = UPDATES, seed: int = 7, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Train vectors and softmax together; return each bucket's logit and the bias.
 
     The two-class softmax is trained as the difference of its two rows.
@@ -135,8 +135,7 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
     m_v, s_v = np.zeros_like(vectors), np.zeros_like(vectors)
     m_w, s_w, m_b, s_b, step = np.zeros_like(weight), np.zeros_like(weight), 0.0, 0.0, 0
     usable = np.array([i for i, x in enumerate(ids) if len(x)])
-    epochs = max(epochs, -(-UPDATES // max(1, -(-len(usable) // 64))))
-    for epoch in range(epochs):
+    for epoch in range(-(-updates // max(1, -(-len(usable) // 64)))):
         # The worst passage of each text under the vectors of this moment.
         logit = vectors @ weight
         per_word = np.add.reduceat(logit[flat], first[:-1]) / sizes
@@ -178,17 +177,31 @@ def fit(texts: list[str], labels: list[int], *, epochs: int = EPOCHS, seed: int
     return (vectors @ weight).astype(np.float32), float(bias)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int, most_chars: int) -> list:
-    """At most ``most`` labelled (text, label) rows outside the held-out fold, by hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, held: int, most: int, most_bytes: int) -> list:
+    """A bounded sample of labelled (text, label) rows outside the held-out fold, with whole texts.
+
+    Rows come in an order that hashes the id: of the first ``most``, each whose text still fits into
+    ``most_bytes`` together with those before it.
+    """
     marks = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).dropna().groupBy("_id").agg(F.max("_label").alias("_label"))
     rows = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).filter(fold_of(F.col("_id"), parts) != held)
-    ids = rows.select("_id").join(marks, "_id").orderBy(F.xxhash64("_id"), "_id").limit(most)
-    found = rows.join(F.broadcast(ids), "_id").select("_id", F.substring("_text", 1, most_chars).alias("text"), F.col("_label").alias("label"))
-    return found.orderBy(F.xxhash64("_id"), "_id", "text").limit(most).collect()
-
-
-def train(docs: DataFrame, labels: DataFrame, *, most_texts: int = MOST_TEXTS, most_chars: int = MOST_CHARS, parts: int = 5, held: int = 0) -> tuple[np.ndarray, float]:
-    rows = training_rows(docs, labels, "toxic", parts, held, most_texts, most_chars)
+    rows = rows.withColumns({"_size": F.octet_length("_text"), "_tie": F.xxhash64("_text")})
+    first = rows.select("_id", "_size", "_tie").join(marks, "_id").orderBy(F.xxhash64("_id"), "_id", "_tie").limit(most)
+    taken, held_bytes = [], 0
+    for r in first.collect():
+        if held_bytes + r._size <= most_bytes:
+            held_bytes += r._size
+            taken.append((r._id, r._tie, r._label, len(taken)))
+    if not taken:
+        return []
+    kind = rows.schema["_id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(taken, f"_id {kind}, _tie long, label int, _place int").groupBy("_id", "_tie").agg(F.max("label").alias("label"), F.min("_place").alias("_place"), F.count(F.lit(1)).alias("_n"))
+    found = rows.join(F.broadcast(chosen), ["_id", "_tie"]).groupBy("_place", "label", "_n").agg(F.first("_text").alias("text")).orderBy("_place").collect()
+    return [r for r in found for _ in range(r._n)]
+
+
+def train(docs: DataFrame, labels: DataFrame, *, most_texts: int = MOST_TEXTS, most_bytes: int = MOST_BYTES, parts: int = 5, held: int = 0) -> tuple[np.ndarray, float]:
+    rows = training_rows(docs, labels, "toxic", parts, held, most_texts, most_bytes)
     return fit([r.text for r in rows], [r.label for r in rows])
 
 
@@ -222,14 +235,15 @@ def op2(spark, sf_dir: str) -> DataFrame:
 def clean(docs: DataFrame, model: tuple[np.ndarray, float], *, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below ``limit``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = "__holdfast_score"
+    at, plain = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_ = _model(shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            scores = pa.array([model_.score(t) for t in texts], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, name])
+            scores = pa.array([model_.score(t) for t in batch.column(at).to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*plain, "score"])
 
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(lean(run, keeps=True), schema).filter(F.col(name) < limit).drop(name)
+    # Under plain names on the way: the table's own may hold any mark.
+    fields = [StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)]
+    scored = docs.toDF(*plain).mapInArrow(lean(run, keeps=True), StructType([*fields, StructField("score", DoubleType())]))
+    return scored.filter(F.col("score") < limit).drop("score").toDF(*docs.columns)

@@ -53,6 +53,31 @@ def test_exact_dedup_and_collisions(spark, docs, empty):
     assert exact_dedup.exact_dedup(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: exact_dedup.F.lit("same")], ids=["sha256", "colliding"])
+def test_exact_dedup_goes_on_from_its_state(spark, tmp_path, digest):
+    schema = "doc_id long, text string"
+    first, second = str(tmp_path / "a"), str(tmp_path / "b b")
+    spark.createDataFrame([(1, "one  text"), (2, "one text")], schema).coalesce(1).write.parquet(first)
+    spark.createDataFrame([(3, "one text"), (4, "other"), (5, "third"), (6, "third")], schema).coalesce(1).write.parquet(second)
+    state = str(tmp_path / "state")
+    old = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(spark, first, digest=digest, state_dir=state).collect()}
+    new = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_dedup(spark, second, digest=digest, state_dir=state).collect()}
+    assert old == {1: (1, True), 2: (1, False)}
+    assert new == {3: (1, False), 4: (4, True), 5: (5, True), 6: (5, False)}
+
+
+def test_fit_sample_has_whole_texts_within_its_bounds(spark):
+    docs = spark.createDataFrame([(i, chr(97 + i) * (40 if i % 2 else 900)) for i in range(20)] + [(3, "again"), (3, "again"), (21, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (None, 1), (5, None), (21, 1)], "doc_id long, toxic int")
+    whole = sorted((r.text, r.label) for r in toxicity.training_rows(docs, labels, "toxic", 5, 0, 100, 1 << 20))
+    texts = [(i, chr(97 + i) * (40 if i % 2 else 900)) for i in range(20)] + [(3, "again"), (3, "again"), (21, "")]
+    assert whole == sorted((t, 1 if i == 21 else i % 2) for i, t in texts if zlib.crc32(str(i).encode()) % 5 != 0)
+    some = toxicity.training_rows(docs, labels, "toxic", 5, 0, 100, 2000)
+    assert sum(len(r.text) for r in some) <= 2000 and {(r.text, r.label) for r in some} < set(whole)
+    assert len(toxicity.training_rows(docs, labels, "toxic", 5, 0, 3, 1 << 20)) == 3
+    assert toxicity.training_rows(docs.limit(0), labels, "toxic", 5, 0, 3, 1 << 20) == []
+
+
 def test_lm_base_and_likelihood(docs, empty):
     found = lm_score.score_texts(docs, passes=2, own=20, hashed=16, hot=10, states=3).collect()
     held = {i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1 for i, _ in TEXTS}
