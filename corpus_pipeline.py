@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import decontaminate, exact_dedup, packing, simhash, toxicity
-from holdfast.llm.shared import ROW, as_table, documents, keyed, spill
+from holdfast.llm.shared import ROW, as_table, documents, free, keyed, named, spill
 
 #: For the near-duplicate stage: words in a shingle, differing bits of two fingerprints that make
 #: them a candidate, and the share of common shingles that makes them near copies.
@@ -32,7 +32,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keep(table: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    return keyed(table).join(rows, ROW, how).select(*(F.col(f"`{c}`") for c in table.columns))
+    """The rows of ``table``, its own columns, whose place is (``left_semi``) or is not (``left_anti``) in ``rows``."""
+    key = free(table, ROW)
+    return keyed(table, key).join(rows.withColumnRenamed(rows.columns[0], key), key, how).select(*named(table.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +47,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id (then the first in the table)."""
     table, _ = as_table(docs)
-    groups = simhash.near_groups(keyed(table), size=SHINGLE, max_diff=MAX_DIFF, similarity=SIMILARITY, row_col=ROW, every=True)
+    key = free(table, ROW)
+    groups = simhash.near_groups(keyed(table, key), size=SHINGLE, max_diff=MAX_DIFF, similarity=SIMILARITY, row_col=key, every=True)
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_key")
     kept = groups.groupBy("root").agg(F.min(rank).alias("first")).select(F.col("first.row_key").alias(ROW))
     return _keep(table, kept, "left_semi")
@@ -54,7 +57,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     table, _ = as_table(docs)
-    found = decontaminate.matches(keyed(table), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row_col=ROW)
+    key = free(table, ROW)
+    found = decontaminate.matches(keyed(table, key), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row_col=key)
     found, _ = spill(found.select(F.col("row_key").alias(ROW)).distinct(), "leaks")
     return _keep(table, found, "left_anti")
 
