@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import walk
+from .iterate import settle, walk
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -32,6 +32,37 @@ def cut_off(edges: DataFrame, reached: DataFrame, depth: int) -> DataFrame:
     return beyond.join(known, ["origin", "upper"], "left_anti").select("origin", "node").distinct()
 
 
+def direct_owners(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """The edges one hop above each target."""
+    return edges.join(targets.select(F.col("node").alias("lower")).distinct(), "lower", "left_semi")
+
+
+def paths_between(edges: DataFrame, pairs: DataFrame, depth: int, most: int = 50) -> DataFrame:
+    """source, target, nodes and hops: simple paths of at most ``depth`` hops, either way down.
+
+    The ``most`` shortest of each pair (a report's limit), then by their nodes.  A path only grows
+    to nodes from which its end is still in reach, which one search up from the ends finds first.
+    """
+    if not 1 <= depth <= 10:
+        raise ValueError(f"depth must be 1 to 10, not {depth}")
+    given = pairs.select("source", "target").distinct().filter("source <> target")
+    both = given.withColumns({"node": F.col("source"), "end": F.col("target")}).unionByName(given.withColumns({"node": F.col("target"), "end": F.col("source")}))
+    both = settle(both)
+    near = owners_within(edges, both.select(F.col("end").alias("node")).distinct(), depth - 1)
+    near = settle(near.select(F.col("origin").alias("end"), F.col("node").alias("lower"), "hops"))
+    step = edges.select(F.col("upper").alias("node"), "lower").distinct()
+    now, found = both.withColumn("nodes", F.array("node")), None
+    for hop in range(1, depth + 1):
+        grown = now.join(step, "node").filter(~F.array_contains("nodes", F.col("lower")))
+        grown = grown.join(near.filter(F.col("hops") <= depth - hop).drop("hops"), ["end", "lower"], "left_semi")
+        now = settle(grown.select("source", "target", F.col("lower").alias("node"), "end", F.concat("nodes", F.array("lower")).alias("nodes")))
+        done = now.filter("node = end").select("source", "target", "nodes", F.lit(hop).alias("hops"))
+        found = done if found is None else found.unionByName(done)
+        now = now.filter("node <> end")
+    order = Window.partitionBy("source", "target").orderBy("hops", "nodes")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).drop("place")
+
+
 def common_controllers(edges: DataFrame, group: DataFrame) -> DataFrame:
     """Owners of at least two members of a group: upper and how many."""
     held = edges.join(group.select(F.col("node").alias("lower")), "lower", "left_semi")

@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import text as T
+from ..functions import values as V
 from ..operators import changes, graph, iterate, rules
 from ..sources import world
 from ..streaming import events as windows
@@ -309,3 +311,80 @@ def similar_names(spark, sf_dir):
     b = names.select("name", F.explode(T.blocks(F.col("name"))).alias("block"))
     pairs = b.alias("x").join(b.alias("y"), "block").filter("x.name < y.name").select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
     return pairs.withColumn("score", F.round(T.similarity("a", "b"), 6)).filter("score >= 0.85")
+
+
+@query(f"{_W} SELECT upper, lower, CAST(low4 AS BIGINT) AS low4, CAST(high4 AS BIGINT) AS high4 FROM edges WHERE lower IN {_CUST}")
+def direct_owners(spark, sf_dir):
+    return graph.direct_owners(world.edges(spark, sf_dir), _customers(spark, sf_dir)).select("upper", "lower", "low4", "high4")
+
+
+def _paths_sql(depth: int) -> str:
+    pairs = "SELECT DISTINCT 'S' || (s_suppkey // 4) AS a, 'S' || s_suppkey AS b FROM supplier UNION SELECT 'C' || (c_custkey // 4), 'C' || c_custkey FROM customer"
+    parts = [
+        _W,
+        "e AS MATERIALIZED (SELECT DISTINCT upper, lower FROM edges)",
+        f"p AS (SELECT a, b FROM ({pairs}) WHERE a <> b)",
+        "p0 AS (SELECT a, b, b AS t, a AS node, [a] AS nodes FROM p UNION ALL SELECT a, b, a, b, [b] FROM p)",
+    ]
+    for i in range(1, depth + 1):
+        parts.append(
+            f"p{i} AS MATERIALIZED (SELECT a, b, t, lower AS node, list_append(nodes, lower) AS nodes FROM p{i - 1} JOIN e ON upper = node "
+            "WHERE node <> t AND NOT list_contains(nodes, lower))"
+        )
+    every = " UNION ALL ".join(f"SELECT a, b, nodes, {i} AS hops FROM p{i} WHERE node = t" for i in range(1, depth + 1))
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY hops, nodes) AS place FROM ({every})"
+    return ", ".join(parts) + f" SELECT a AS source, b AS target, array_to_string(nodes, '>') AS path, CAST(hops AS INTEGER) AS hops FROM ({ranked}) WHERE place <= 50"
+
+
+@query(_paths_sql(4))
+def paths_between(spark, sf_dir):
+    """Chains between each supplier or customer and the one at a quarter of its number."""
+    parts = [
+        world.table(spark, sf_dir, table).select(F.concat(F.lit(letter), F.expr(f"{key} div 4")).alias("source"), F.concat(F.lit(letter), key).alias("target"))
+        for table, key, letter in (("supplier", "s_suppkey", "S"), ("customer", "c_custkey", "C"))
+    ]
+    found = graph.paths_between(iterate.settle(world.edges(spark, sf_dir)), parts[0].unionByName(parts[1]), 4)
+    return found.select("source", "target", F.concat_ws(">", "nodes").alias("path"), "hops")
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'lei:' || lpad(CAST(c_custkey AS VARCHAR), 20, '0') ELSE c_mktsegment || ':' || c_custkey END AS entity_id FROM customer"
+)
+def entity_ids(spark, sf_dir):
+    lei = F.when(F.col("c_custkey") % 3 == 0, F.lpad(F.col("c_custkey").cast("string"), 20, "0")).when(F.col("c_custkey") % 3 == 1, "")
+    id_ = V.entity_id(lei, F.col("c_mktsegment"), F.col("c_custkey").cast("string"))
+    return world.table(spark, sf_dir, "customer").select("c_custkey", id_.alias("entity_id"))
+
+
+_DATES = (
+    "CASE o_orderkey % 5 WHEN 0 THEN left(CAST(CAST(o_orderdate AS DATE) AS {text}), 4) WHEN 1 THEN left(CAST(CAST(o_orderdate AS DATE) AS {text}), 7) "
+    "WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS {text}) WHEN 3 THEN '1996-13-41' END"
+)
+
+
+@query(f"WITH d AS (SELECT o_orderkey, {_DATES.format(text='VARCHAR')} AS t FROM orders) SELECT o_orderkey, CAST(TRY_CAST(t AS DATE) AS VARCHAR) AS listed, t IS NULL OR t > '1996-06-01' AS active FROM d")
+def designation_dates(spark, sf_dir):
+    rows = world.table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_DATES.format(text="STRING")).alias("t"))
+    return rows.select("o_orderkey", V.full_date(F.col("t")).cast("string").alias("listed"), V.in_force(F.col("t"), "1996-06-01").alias("active"))
+
+
+@query(
+    f"{_W}, c AS (SELECT *, low4 % 20000 = 0 AS lc, high4 % 30000 = 0 AS hc FROM edges WHERE low4 IS NOT NULL) SELECT upper, lower, "
+    "low4 > 500000 OR (low4 = 500000 AND NOT lc) AS every_above, low4 >= 500000 AS every_least, "
+    "high4 > 500000 AS some_above, high4 > 500000 OR (high4 = 500000 AND hc) AS some_least FROM c"
+)
+def stake_tests(spark, sf_dir):
+    e = world.edges(spark, sf_dir).filter("low4 IS NOT NULL")
+    low, high = F.col("low4"), F.col("high4")
+    low_closed, high_closed = low % 20000 == 0, high % 30000 == 0
+    return e.select(
+        "upper", "lower",
+        V.every_meets(low, low_closed, ">", rules.HALF).alias("every_above"), V.every_meets(low, low_closed, ">=", rules.HALF).alias("every_least"),
+        V.some_meets(high, high_closed, ">", rules.HALF).alias("some_above"), V.some_meets(high, high_closed, ">=", rules.HALF).alias("some_least"),
+    )
+
+
+@query("SELECT p_partkey, lower(p_name) AS query FROM part")
+def normalised_queries(spark, sf_dir):
+    typed = F.concat(F.lit("  "), F.replace(F.upper("p_name"), F.lit(" "), F.lit(" \t ")))
+    return world.table(spark, sf_dir, "part").select("p_partkey", N.normalised_query(typed).alias("query"))

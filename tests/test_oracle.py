@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from holdfast.functions import text
+from holdfast.functions import names as name_forms
+from holdfast.functions import text, values
 from holdfast.operators import changes, graph, iterate, rules
 from holdfast.plans import queries
 
@@ -134,3 +135,37 @@ def test_similar_names_match_a_plain_scan(spark):
     blocks = {n: {w[:4] for w in n.split()} for n in names}
     expected = {tuple(sorted(p)) for p in combinations(names, 2) if blocks[p[0]] & blocks[p[1]] and round(text.sorted_words_ratio(*p), 6) >= 0.85}
     assert {(r.a, r.b) for r in queries.similar_names(spark, SF).collect()} == expected
+
+
+def test_comparable_names():
+    assert name_forms.normal_name("Müller & Söhne GmbH") == "muller sohne"
+    assert name_forms.normal_name("Acme S.A.") == "acme"
+    assert name_forms.normal_name("Alpha Private Limited Company") == "alpha"
+    assert name_forms.normal_name("Limited") == "limited"
+    assert name_forms.normal_name("Gesellschaft mit beschränkter Haftung Nord") == "nord"
+    assert name_forms.name_with_form("Siemens Aktiengesellschaft") == "siemens ag"
+
+
+def test_comparable_addresses():
+    assert name_forms.normal_address("P.O. Box 12, The High Street") == "pobox 12 high st"
+    assert name_forms.normal_address("Post  Office Box 12") == "pobox 12"
+    assert name_forms.normal_address("Hauptstraße_5, Nr. 3") == "hauptstrasse 5 no 3"
+    assert name_forms.normal_address("1 Rd") is None and name_forms.normal_address(None) is None
+
+
+def test_name_columns(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([("Siemens AG", "SIEMENS Limited"), (None, "x"), ("", "")], "a string, b string")
+    found = rows.select(name_forms.name_similarity("a", "b").alias("s"), name_forms.form_similarity("a", "b").alias("f"), name_forms.normalised_address("a").alias("d")).collect()
+    assert [r.s for r in found] == [1.0, None, 1.0] and found[0].f < 1 and [r.d for r in found] == ["siemens ag", None, None]
+    dates = spark.createDataFrame([(t,) for t in ("2023", "2023-02", "2023-02-30", " 2023-02-03 ", "x", None)], "t string")
+    assert [str(r[0]) for r in dates.select(values.full_date(F.col("t"))).collect()] == ["None", "None", "None", "2023-02-03", "None", "None"]
+
+
+def test_paths_between_both_ways_and_around_cycles(spark):
+    e = world(spark, [("a", "b", 1, 1), ("b", "c", 1, 1), ("a", "c", 1, 1), ("c", "a", 1, 1), ("c", "d", 1, 1), ("a", "a", 1, 1)])
+    found = graph.paths_between(e, spark.createDataFrame([("a", "c"), ("d", "b"), ("a", "a"), ("a", "zz")], "source string, target string"), 3).collect()
+    assert {(r.source, r.target, ">".join(r.nodes), r.hops) for r in found} == {("a", "c", "a>c", 1), ("a", "c", "c>a", 1), ("a", "c", "a>b>c", 2), ("d", "b", "b>c>d", 2)}
+    with pytest.raises(ValueError):
+        graph.paths_between(e, e.selectExpr("upper AS source", "lower AS target"), 11)
