@@ -100,6 +100,7 @@ class Index:
             for w in keys(words, self.need[n], idf, row_of):
                 held[row_of[w]].append(n)
         self.item_rows = [np.array([row_of[w] for w in x], dtype=np.int64) for x in self.sets]
+        self.masks = [self.mask(x) for x in self.item_rows]
         self.key_count = np.array([len(x) for x in held], dtype=np.int64)
         self.key_first = np.cumsum(self.key_count) - self.key_count
         self.key_items = np.array([n for x in held for n in x], dtype=np.int64)
@@ -115,6 +116,12 @@ class Index:
                         whose.append(n)
             self.scales.append((np.array(whose, dtype=np.int64), np.array(rows, dtype=np.float32).reshape(len(rows), vectors.shape[1])))
 
+    def mask(self, rows: np.ndarray) -> int:
+        """A set of words as bits; -1, a word of no item, is none of them."""
+        flags = np.zeros(len(self.row_of) + 1, dtype=bool)
+        flags[rows] = True
+        return int.from_bytes(np.packbits(flags[:-1]).tobytes(), "big")
+
     def met(self, texts: list[list[bytes]], rows: np.ndarray, text: np.ndarray, place: np.ndarray) -> list[tuple[int, int, list[int]]]:
         """(text, item, places of its keys) wherever a text has as many of the item's words as a match needs."""
         hits = np.flatnonzero(self.key_count[rows])
@@ -186,9 +193,9 @@ class Index:
                 for i, j in zip(at.tolist(), which.tolist(), strict=True):
                     if i != last:
                         last, t = i, int(text[a + i])
-                        near = set(texts[t][max(0, int(begin[a + i]) * UNIT - self.reach) : int(end[a + i]) * UNIT + self.reach])
+                        near = self.mask(every[first_row[t] + max(0, int(begin[a + i]) * UNIT - self.reach) : min(first_row[t] + int(end[a + i]) * UNIT + self.reach, first_row[t + 1])])
                     n = int(whose[j])
-                    if len(near & self.sets[n]) >= self.need[n]:
+                    if (near & self.masks[n]).bit_count() >= self.need[n]:
                         take(a + i, n, float(cosine[i, j]))
             first_window = np.cumsum(counts) - counts
             rows_of: dict[int, list[int]] = {}
@@ -201,13 +208,24 @@ class Index:
                 at = np.array(places)[:, None]
                 ks = np.unique(np.clip((at - size) // UNIT // hop + np.arange(-2, 4 + 2 * size // (UNIT * hop)), 0, most - 1)) + int(first_window[t])
                 # The item's words around each window, repeats included: a common subsequence is no longer.
+                low, high = np.maximum(begin[ks] * UNIT - size, 0), np.minimum(end[ks] * UNIT + size, int(sizes[t]))
+                base = int(low[0])
+                near = every[first_row[t] + base : first_row[t] + int(high[-1])]
                 own[self.item_rows[n]] = True
-                held = np.concatenate([[0], np.cumsum(own[every[first_row[t] : first_row[t + 1]]])])
+                hits = np.flatnonzero(own[near])
                 own[self.item_rows[n]] = False
-                low, high = np.maximum(begin[ks] * UNIT - size, 0), np.minimum(end[ks] * UNIT + size, int(sizes[t]))
-                for i in ks[held[high] - held[low] >= PARAPHRASE * size - 1e-9].tolist():
-                    first_word, last_word = int(begin[i]) * UNIT, int(end[i]) * UNIT
-                    if len(self.sets[n].intersection(texts[t][max(0, first_word - size) : last_word + size])) >= self.need[n]:
+                a, b = np.searchsorted(hits, low - base), np.searchsorted(hits, high - base)
+                enough = np.flatnonzero(b - a >= PARAPHRASE * size - 1e-9)
+                if not len(enough):
+                    continue
+                # Distinct ones are those that the same word does not precede within the window's reach.
+                order = np.argsort(near[hits], kind="stable")
+                again = np.flatnonzero(near[hits[order[1:]]] == near[hits[order[:-1]]])
+                before = np.full(len(hits), -1)
+                before[order[again + 1]] = hits[order[again]]
+                for k, x, y in zip(enough.tolist(), a[enough].tolist(), b[enough].tolist(), strict=True):
+                    if np.count_nonzero(before[x:y] < low[k] - base) >= self.need[n]:
+                        i = int(ks[k])
                         c = float((vectors[rows_of[n]] @ window[i]).max())
                         if c < NEAR + 1e-3:  # the others have been judged
                             take(i, n, c)

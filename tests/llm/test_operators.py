@@ -381,3 +381,12 @@ def test_chain_marginals_match_enumeration():
     z = sum(weight.values())
     assert abs(log_z - math.log(z)) < 1e-9
     assert np.allclose(marginals[:, 1], [sum(w for y, w in weight.items() if y[i]) / z for i in range(4)])
+
+
+def test_word_masks_count_the_distinct_words_in_common():
+    words = ["alpha", "beta", "gamma", "delta", "beta"]
+    row_of = {w.encode(): i for i, w in enumerate(sorted(set(words)))}
+    index = decontaminate.Index([(1, " ".join(words))], np.eye(4), row_of, np.ones(4))
+    rows = np.array([row_of.get(w, -1) for w in (b"beta", b"zeta", b"beta", b"alpha", b"eta")])
+    assert (index.mask(rows) & index.masks[0]).bit_count() == 2
+    assert index.mask(np.array([-1, -1])) == 0
