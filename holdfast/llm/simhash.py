@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import chain, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SEED = 42
 SAMPLE = 16
 OFTEN = 4
 LAST = 200_000
+#: The most masks that a fingerprint is sent under.
+TABLES = 128
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -229,7 +232,9 @@ def cross_links(fingerprints: np.ndarray, block: np.ndarray, left: int, right: i
 def masks(count: int, most: int) -> list[int]:
     """The upper nodes' masks for so many fingerprints: all choices of c among most + c blocks."""
     # The fewest blocks that leave about SPREAD fingerprints under a pattern, were they spread evenly.
-    chosen = next((c for c in (1, 2, 3) if count >> (64 * c // (most + c)) <= SPREAD), 4)
+    # Each mask costs a copy of every fingerprint; where TABLES ends them, upper nodes are larger instead.
+    few = [c for c in (1, 2, 3, 4) if c == 1 or comb(most + c, c) <= TABLES]
+    chosen = next((c for c in few if count >> (64 * c // (most + c)) <= SPREAD), few[-1])
     parts = most + chosen
     edges = [64 * i // parts for i in range(parts + 1)]
     blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]

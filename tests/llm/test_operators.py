@@ -390,3 +390,11 @@ def test_word_masks_count_the_distinct_words_in_common():
     rows = np.array([row_of.get(w, -1) for w in (b"beta", b"zeta", b"beta", b"alpha", b"eta")])
     assert (index.mask(rows) & index.masks[0]).bit_count() == 2
     assert index.mask(np.array([-1, -1])) == 0
+
+
+def test_copies_of_fingerprints_under_masks_stay_bounded():
+    for count in (1_000, 250_000, 2_500_000, 1 << 40):
+        for most in (4, 12):
+            chosen = simhash.masks(count, most)
+            assert len(chosen) <= simhash.TABLES
+            assert all(sum(m >> b & 1 for m in chosen) for b in range(64))
