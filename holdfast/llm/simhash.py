@@ -42,7 +42,9 @@ SEED = 42
 SAMPLE = 16
 OFTEN = 4
 LAST = 200_000
-#: The most masks that a fingerprint is sent under.
+#: Bits of a set's sketch, pairs that one step compares, and the most masks that a fingerprint is sent under.
+BITS = 512
+STEP = 100_000
 TABLES = 128
 
 
@@ -356,54 +358,100 @@ def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
     return np.sort(table.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def set_links(placed: DataFrame, similarity: float) -> DataFrame:
+def sketch(found: np.ndarray) -> bytes:
+    """``BITS`` bits: set where an odd number of the shingles fall.  Two sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def shared_leads(placed: DataFrame) -> DataFrame:
+    """shingle and node: the leads' shingles that nodes of two groups have, so at most a row for each shingle of a lead."""
+    keys = placed.select("node", "group", F.explode("lead").alias("shingle")).repartition("shingle").sortWithinPartitions("shingle")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (node, group, shingle), cuts in by_shingle(batches, 3):
+            first = cuts[:-1]
+            kept = np.repeat(np.minimum.reduceat(group, first) != np.maximum.reduceat(group, first), np.diff(cuts))
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[kept]), pa.array(node[kept])], names=["shingle", "node"])
+
+    return keys.select("node", "group", "shingle").mapInArrow(lean(run), "shingle long, node long")
+
+
+def by_shingle(batches: Iterator[pa.RecordBatch], fields: int, at: int | None = None) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The first ``fields`` columns of whole shingles, in order of the last of them, and where each shingle begins and the last one ends; sketches (column ``at``) as rows of words."""
+    held: list[np.ndarray] | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            new = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) if i == at else batch.column(i).to_numpy() for i in range(fields)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        shingle = held[-1]
+        cuts = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]])
+        full = len(cuts) - 1 - (batch is not None)  # the last shingle may go on
+        if full:
+            yield [x[: cuts[full]] for x in held], cuts[: full + 1]
+            held = [x[cuts[full] :] for x in held]
+
+
+def set_links(members: DataFrame, placed: DataFrame, similarity: float, *, spanning: bool = False) -> DataFrame:
     """Pairs (u, v) of different groups that may share ``similarity`` of their shingles; no such pair is left out.
 
-    Rows are node, group, n (its number of shingles) and lead (the first of them).  Common
-    shingles are among the two leads or in the rest of the set whose lead ends first.
+    ``placed`` has node, group, n (its number of shingles) and sketch; ``members`` are its
+    ``shared_leads``.  Common shingles are among the two leads or in the rest of the set whose lead
+    ends first, and the sketches bound how many are not common.  With ``spanning`` a shingle gives a
+    forest of such pairs, nearest first, at most one pair for each of its rows.
     """
-    keys = placed.select("node", "group", "n", F.explode("lead").alias("shingle")).repartition("shingle").sortWithinPartitions("shingle", "n")
+    keys = members.join(placed.select("node", "group", "n", "sketch"), "node").repartition("shingle").sortWithinPartitions("shingle", "n")
 
-    def pairs(node: np.ndarray, group: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(group: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         # In order of size: partners of a set lie between it and the first that is too large.
         ends = np.searchsorted(n, n / similarity + 1e-6, side="right")
-        for begin in range(0, len(n), 256):
-            reach = np.arange(begin, min(begin + 256, len(n)))
+        step = max(1, STEP // len(n))
+        for begin in range(0, len(n), step):
+            reach = np.arange(begin, min(begin + step, len(n)))
             counts = ends[reach] - reach - 1
             a = np.repeat(reach, counts)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(counts) - counts, counts)
             apart = group[a] != group[b]
             a, b = a[apart], b[apart]
-            if len(a):
-                swap = node[a] > node[b]
-                a, b = np.where(swap, b, a), np.where(swap, a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], names=["u", "v", "n_u", "n_v"])
+            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            near = differ <= (n[a].astype(np.int64) + n[b]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            if near.any():
+                yield a[near], b[near], differ[near]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                new = [batch.column(i).to_numpy() for i in range(4)]
-                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if held is None or not len(held[0]):
-                continue
-            node, group, n, shingle = held
-            cuts = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1, [len(shingle)]])
-            full = len(cuts) - 1 - (batch is not None)  # the last shingle may go on
-            first, last = cuts[:full], cuts[1 : full + 1]
-            small = last - first == 2  # most are of two sets
-            a = first[small]
-            a = a[(group[a] != group[a + 1]) & (n[a] >= similarity * n[a + 1] - 1e-6)]
-            if len(a):
-                swap = node[a] > node[a + 1]
-                a, b = np.where(swap, a + 1, a), np.where(swap, a, a + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], names=["u", "v", "n_u", "n_v"])
-            for i, j in zip(first[last - first > 2].tolist(), last[last - first > 2].tolist(), strict=True):
-                if (group[i:j] != group[i]).any():
-                    yield from pairs(node[i:j], group[i:j], n[i:j])
-            held = [x[cuts[full] :] for x in held]
-
-    met = keys.select("node", "group", "n", "shingle").mapInArrow(lean(run), "u long, v long, n_u int, n_v int").groupBy("u", "v", "n_u", "n_v").agg(F.count(F.lit(1)).alias("c"))
+        for (node, group, n, bits, _), cuts in by_shingle(batches, 5, 3):
+            us, vs = [], []
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                found = pairs(group[i:j], n[i:j], bits[i:j])
+                if spanning:
+                    forest = Forest(j - i)
+                    _, first, which = np.unique(group[i:j], return_index=True, return_inverse=True)
+                    forest.root = first[which]
+                    for a, b, differ in found:
+                        forest.join(a, b, differ)
+                    found = [(a, b, None) for a, b in forest.links]
+                for a, b, _ in found:
+                    us.append(a + i)
+                    vs.append(b + i)
+                    if sum(map(len, us)) >= STEP:
+                        yield ordered(node, n, us, vs)
+                        us, vs = [], []
+            if us:
+                yield ordered(node, n, us, vs)
+
+    def ordered(node: np.ndarray, n: np.ndarray, us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(us), np.concatenate(vs)
+        swap = node[a] > node[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (node[a], node[b], n[a], n[b])], names=["u", "v", "n_u", "n_v"])
+
+    met = keys.select("node", "group", "n", "sketch", "shingle").mapInArrow(lean(run), "u long, v long, n_u int, n_v int")
+    if spanning:
+        return spill(met.select("u", "v").distinct(), "simhash-sets-met")[0]
+    met = met.groupBy("u", "v", "n_u", "n_v").agg(F.count(F.lit(1)).alias("c"))
     rest = F.greatest(*(F.ceil(F.col(x) * similarity - 1e-6) - 1 for x in ("n_u", "n_v")))
     least = (F.col("n_u") + F.col("n_v")) * (similarity / (1 + similarity)) - 1e-6
     found, _ = spill(met.filter(F.col("c") + rest >= least).select("u", "v"), "simhash-sets-met")
@@ -416,15 +464,23 @@ def alike_links(distinct: DataFrame, prints: DataFrame, rows: DataFrame, size: i
     A spanning link that is not alike may hide one that is, so the index is searched a second time:
     every pair whose nodes the alike spanning links leave apart is compared as well.  With ``every``
     those nodes are searched by their shingles instead, and the pairs are all that share
-    ``similarity``, at whatever number of bits.
+    ``similarity``, at whatever number of bits: first spanning links of the sets of each shingle,
+    which join a large group of near copies, then every pair that is still apart.
     """
     spanning = alike(link(distinct, most).distinct(), prints, rows, size, similarity)
     roots = components(spanning)
     placed = distinct.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group"))
     placed, path = spill(placed, "simhash-placed")
     if every:
-        leads = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"))
-        beyond = set_links(placed.select("node", "group").join(leads, "node"), similarity)
+        leads = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("sketch").alias("sketch"))
+        held, held_path = spill(placed.select("node", "group").join(leads, "node"), "simhash-leads")
+        members, members_path = spill(shared_leads(held), "simhash-members")
+        closer = alike(set_links(members, held, similarity, spanning=True), prints, rows, size, similarity)
+        spanning = spanning.unionByName(closer)
+        joined = components(spanning)
+        held = held.drop("group", "lead").join(joined, "node", "left").withColumn("group", F.coalesce("root", "node"))
+        beyond = set_links(members, held, similarity)
+        remove(distinct.sparkSession, held_path, members_path)
     else:
         beyond = link(placed, most, cross=True)
     more = alike(beyond, prints, rows, size, similarity)
@@ -462,11 +518,11 @@ def near_groups(
                     found = shingle_set(t, size)
                     fps[i], nodes[i] = majority(found), xxhash.xxh64_intdigest(found.tobytes(), SEED)
                     if every:
-                        leads.append((len(found), lead(found, last.value, similarity).view(np.int64)))
-            more_ = [pa.array([n for n, _ in leads], pa.int32()), pa.array([x for _, x in leads], pa.list_(pa.int64()))] if every else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), *more_], names=[*kept, "fp", "node", *(["n", "lead"] if every else [])])
+                        leads.append((len(found), lead(found, last.value, similarity).view(np.int64), sketch(found)))
+            more_ = [pa.array([x[i] for x in leads], kind) for i, kind in enumerate((pa.int32(), pa.list_(pa.int64()), pa.binary()))] if every else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), *more_], names=[*kept, "fp", "node", *(["n", "lead", "sketch"] if every else [])])
 
-    prints, _ = spill(rows.mapInArrow(lean(run), f"{schema}, fp long, node long" + (", n int, lead array<long>" if every else "")), "simhash-prints")
+    prints, _ = spill(rows.mapInArrow(lean(run), f"{schema}, fp long, node long" + (", n int, lead array<long>, sketch binary" if every else "")), "simhash-prints")
     distinct, _ = spill(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     if similarity is None:
         links = link(distinct.select("node", "fp"), max_diff)

@@ -392,9 +392,38 @@ def test_word_masks_count_the_distinct_words_in_common():
     assert index.mask(np.array([-1, -1])) == 0
 
 
+def test_sketches_never_differ_in_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 150, 3000):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        for changed in {0, min(1, size), size // 10, size}:
+            other = np.concatenate([base[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)])
+            x, y = (np.frombuffer(simhash.sketch(np.unique(s)), dtype=np.uint64) for s in (base, other))
+            assert np.bitwise_count(x ^ y).sum() <= len(set(base.tolist()) ^ set(other.tolist()))
+
+
 def test_copies_of_fingerprints_under_masks_stay_bounded():
     for count in (1_000, 250_000, 2_500_000, 1 << 40):
         for most in (4, 12):
             chosen = simhash.masks(count, most)
             assert len(chosen) <= simhash.TABLES
             assert all(sum(m >> b & 1 for m in chosen) for b in range(64))
+
+
+def test_large_group_of_near_copies_gives_few_pairs_and_loses_no_link(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 146).astype(np.uint64)
+    sets = []
+    for changed in [*range(2, 26)] * 10:
+        own = base.copy()
+        own[rng.choice(len(base), changed, replace=False)] = rng.integers(0, 1 << 63, changed).astype(np.uint64)
+        sets.append(np.unique(own))
+    none = np.zeros(0, dtype=np.uint64)
+    rows = [(i, i, len(s), simhash.lead(s, none, 0.8).view(np.int64).tolist(), bytearray(simhash.sketch(s))) for i, s in enumerate(sets)]
+    placed = spark.createDataFrame(rows, "node long, group long, n int, lead array<long>, sketch binary")
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if (c := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)}
+    members = simhash.shared_leads(placed)
+    assert members.count() <= sum(len(r[3]) for r in rows)
+    forest = {(r.u, r.v) for r in simhash.set_links(members, placed, 0.8, spanning=True).collect()}
+    assert near and len(forest) < members.count()
+    assert near <= {(r.u, r.v) for r in simhash.set_links(members, placed, 0.8).collect()}
