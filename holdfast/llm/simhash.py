@@ -11,7 +11,8 @@ differences from level to level and drops a whole run once they exceed ``max_dif
 An upper node of over ``MOST`` fingerprints is dealt over tasks as pairs of blocks of it, so no
 task holds more than two blocks.  A task sends on a spanning forest of its links, at most one link
 a fingerprint.  Where pairs count by their common shingles, those beyond ``max_diff`` bits are
-found by the shingles themselves (``set_links``), so no pair is lost there either.  Components come from alternating star operations, each round written to the
+found by the shingles themselves (``set_links``), so no pair is lost there either.  Sketches rule
+out most pairs before whole sets are sent (``sift``).  Components come from alternating star operations, each round written to the
 shared folder; neither links nor components reach the driver.
 
 Defined results: null text is empty; a text without words has fingerprint zero; fewer words than a
@@ -324,8 +325,31 @@ def components(links: DataFrame) -> DataFrame:
         state = seen
 
 
-def alike(links: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Links whose two nodes share ``similarity`` of their shingles; a node's rows all have the same ones."""
+def sift(links: DataFrame, wides: DataFrame, similarity: float) -> DataFrame:
+    """Links without those whose two nodes' sizes or wide sketches rule out ``similarity``; ``wides`` has node, n and wide."""
+    part = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n_u, n_v, x, y = batch.columns
+            a, b = n_u.to_numpy().astype(np.int64), n_v.to_numpy().astype(np.int64)
+            at = np.flatnonzero(np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6)
+            most = (a + b)[at] * part + 1e-6
+            x, y = (z.take(pa.array(at)).to_pylist() for z in (x, y))
+            at = at[np.fromiter(map(differing, x, y), dtype=np.int64, count=len(at)) <= most]
+            yield pa.RecordBatch.from_arrays([u.take(pa.array(at)), v.take(pa.array(at))], names=["u", "v"])
+
+    ours, theirs = (wides.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("wide").alias(f"wide_{k}")) for k in ("u", "v"))
+    both = links.join(ours, "u").join(theirs, "v").select("u", "v", "n_u", "n_v", "wide_u", "wide_v")
+    return spill(both.mapInArrow(lean(run), "u long, v long"), "simhash-sifted")[0]
+
+
+def alike(links: DataFrame, wides: DataFrame, prints: DataFrame, rows: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links whose two nodes share ``similarity`` of their shingles; a node's rows all have the same ones.
+
+    Whole sets are sent only for links that the sketches leave.
+    """
+    links = sift(links, wides, similarity)
     named = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
     firsts = prints.join(named, "node").groupBy("node").agg(F.min("row_key").alias("row_key"))
 
@@ -358,12 +382,23 @@ def common_shingles(rows: DataFrame, size: int) -> np.ndarray:
     return np.sort(table.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """``BITS`` bits: set where an odd number of the shingles fall.  Two sets differ in at least as many shingles as their sketches in bits."""
-    odd = np.bincount((found % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+def sketch(found: np.ndarray, bits: int = BITS) -> bytes:
+    """``bits`` bits: set where an odd number of the shingles fall.  Two sets differ in at least as many shingles as their sketches in bits."""
+    odd = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def wide_sketch(found: np.ndarray) -> bytes:
+    """A sketch of at least a bit for each shingle, so that it tells large sets apart too; its bits are a power of two."""
+    return sketch(found, max(BITS, 1 << max(0, len(found) - 1).bit_length()))
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ; the wider one is folded, which gives the sketch of fewer bits."""
+    x, y = (np.frombuffer(s, dtype=np.uint64) for s in ((a, b) if len(a) >= len(b) else (b, a)))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0) ^ y).sum(dtype=np.int64))
+
+
 def shared_leads(placed: DataFrame) -> DataFrame:
     """shingle and node: the leads' shingles that nodes of two groups have, so at most a row for each shingle of a lead."""
     keys = placed.select("node", "group", F.explode("lead").alias("shingle")).repartition("shingle").sortWithinPartitions("shingle")
@@ -467,7 +502,8 @@ def alike_links(distinct: DataFrame, prints: DataFrame, rows: DataFrame, size: i
     ``similarity``, at whatever number of bits: first spanning links of the sets of each shingle,
     which join a large group of near copies, then every pair that is still apart.
     """
-    spanning = alike(link(distinct, most).distinct(), prints, rows, size, similarity)
+    wides, wides_path = spill(prints.groupBy("node").agg(F.first("n").alias("n"), F.first("wide").alias("wide")), "simhash-wide")
+    spanning = alike(link(distinct, most).distinct(), wides, prints, rows, size, similarity)
     roots = components(spanning)
     placed = distinct.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("group"))
     placed, path = spill(placed, "simhash-placed")
@@ -475,7 +511,7 @@ def alike_links(distinct: DataFrame, prints: DataFrame, rows: DataFrame, size: i
         leads = prints.groupBy("node").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("sketch").alias("sketch"))
         held, held_path = spill(placed.select("node", "group").join(leads, "node"), "simhash-leads")
         members, members_path = spill(shared_leads(held), "simhash-members")
-        closer = alike(set_links(members, held, similarity, spanning=True), prints, rows, size, similarity)
+        closer = alike(set_links(members, held, similarity, spanning=True), wides, prints, rows, size, similarity)
         spanning = spanning.unionByName(closer)
         joined = components(spanning)
         held = held.drop("group", "lead").join(joined, "node", "left").withColumn("group", F.coalesce("root", "node"))
@@ -483,8 +519,8 @@ def alike_links(distinct: DataFrame, prints: DataFrame, rows: DataFrame, size: i
         remove(distinct.sparkSession, held_path, members_path)
     else:
         beyond = link(placed, most, cross=True)
-    more = alike(beyond, prints, rows, size, similarity)
-    remove(distinct.sparkSession, path)
+    more = alike(beyond, wides, prints, rows, size, similarity)
+    remove(distinct.sparkSession, path, wides_path)
     return spanning.unionByName(more)
 
 
@@ -509,7 +545,7 @@ def near_groups(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
-            leads = []
+            facts = []
             if similarity is None:
                 fps = nodes = np.fromiter((fingerprint(t, size) for t in texts), dtype=np.uint64, count=len(texts))
             else:
@@ -517,12 +553,15 @@ def near_groups(
                 for i, t in enumerate(texts):
                     found = shingle_set(t, size)
                     fps[i], nodes[i] = majority(found), xxhash.xxh64_intdigest(found.tobytes(), SEED)
-                    if every:
-                        leads.append((len(found), lead(found, last.value, similarity).view(np.int64), sketch(found)))
-            more_ = [pa.array([x[i] for x in leads], kind) for i, kind in enumerate((pa.int32(), pa.list_(pa.int64()), pa.binary()))] if every else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), *more_], names=[*kept, "fp", "node", *(["n", "lead", "sketch"] if every else [])])
-
-    prints, _ = spill(rows.mapInArrow(lean(run), f"{schema}, fp long, node long" + (", n int, lead array<long>, sketch binary" if every else "")), "simhash-prints")
+                    facts.append((len(found), wide_sketch(found), *((lead(found, last.value, similarity).view(np.int64), sketch(found)) if every else ())))
+            more_ = [pa.array([x[i] for x in facts], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), *more_], names=[*kept, "fp", "node", *names_])
+
+    # What a set of shingles is judged by: its size and wide sketch, and for the search by shingles its lead and sketch.
+    held = [] if similarity is None else [("n", "int", pa.int32()), ("wide", "binary", pa.binary())]
+    held += [("lead", "array<long>", pa.list_(pa.int64())), ("sketch", "binary", pa.binary())] if every else []
+    names_, kinds = [h[0] for h in held], [h[2] for h in held]
+    prints, _ = spill(rows.mapInArrow(lean(run), ", ".join([schema, "fp long, node long", *(f"{h[0]} {h[1]}" for h in held)])), "simhash-prints")
     distinct, _ = spill(prints.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     if similarity is None:
         links = link(distinct.select("node", "fp"), max_diff)

@@ -427,3 +427,21 @@ def test_large_group_of_near_copies_gives_few_pairs_and_loses_no_link(spark):
     forest = {(r.u, r.v) for r in simhash.set_links(members, placed, 0.8, spanning=True).collect()}
     assert near and len(forest) < members.count()
     assert near <= {(r.u, r.v) for r in simhash.set_links(members, placed, 0.8).collect()}
+
+
+def test_large_unlike_sets_are_ruled_out_before_whole_sets_are_sent(spark):
+    rng = np.random.default_rng(21)
+    sets = []
+    for size in (1, 500, 1500, 4000, 9000):
+        base = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        sets += [np.unique(np.concatenate([base[changed:], rng.integers(0, 1 << 63, changed).astype(np.uint64)])) for changed in (0, size // 20, size // 9, size // 2, size)]
+        sets.append(np.unique(base[: size * 41 // 50]))
+    sets.append(np.zeros(0, dtype=np.uint64))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    for i, j in pairs:
+        assert simhash.differing(simhash.wide_sketch(sets[i]), simhash.wide_sketch(sets[j])) <= len(np.setxor1d(sets[i], sets[j]))
+    share = {(i, j): len(np.intersect1d(sets[i], sets[j])) / max(1, len(np.union1d(sets[i], sets[j]))) for i, j in pairs}
+    wides = spark.createDataFrame([(i, len(s), bytearray(simhash.wide_sketch(s))) for i, s in enumerate(sets)], "node long, n int, wide binary")
+    left = {(r.u, r.v) for r in simhash.sift(spark.createDataFrame(pairs, "u long, v long"), wides, 0.8).collect()}
+    assert {p for p in pairs if share[p] >= 0.8} <= left
+    assert not {p for p in left if share[p] < 0.5 and max(len(sets[k]) for k in p) > 1}
